@@ -1,0 +1,46 @@
+"""Queries of the survivor operator (problem 4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill.functions.text import RE2_SPACE
+from lexmill.functions.url import PAGE_TRACKING
+from lexmill.operators.survivor import page_groups, survivors
+from lexmill.runtime import read
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return page_groups(read(spark, root, "captures"))
+
+
+def p4_records(spark: SparkSession, root: str) -> DataFrame:
+    return survivors(read(spark, root, "captures"), read(spark, root, "method_trust"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_records": p4_records}
+
+_TRACK = "^(utm_.*|" + "|".join(PAGE_TRACKING) + ")$"
+ORACLE = {
+    "p4_found": rf"""
+WITH u AS (
+  SELECT capture_id, ts, text,
+         regexp_replace(regexp_replace(regexp_replace(url_canonical, '^[{RE2_SPACE}]+|[{RE2_SPACE}]+$', '', 'g'), '(?s)#.*$', ''),
+                        '^(https?:)?//', '', 'i') AS a
+  FROM captures WHERE url_canonical IS NOT NULL),
+h AS (
+  SELECT capture_id, ts, text, regexp_extract(a, '^[^/?]*') AS head, substr(a, length(regexp_extract(a, '^[^/?]*')) + 1) AS rest FROM u),
+k AS (
+  SELECT capture_id, ts, text,
+         regexp_replace(regexp_replace(lower(head), ':(80|443)?$', ''), '^www\.', '') || '|' ||
+         regexp_replace(replace(regexp_extract(rest, '^[^?]*'), '%c3%a9', '%C3%A9'), '/+$', '') || '?' ||
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(lower(regexp_extract(p, '^[^=]*')), '{_TRACK}'))), '&') AS page,
+         coalesce(len(regexp_extract_all(text, '[^{RE2_SPACE}]+')), 0) AS words
+  FROM h WHERE head <> ''),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY page ORDER BY words DESC, ts DESC NULLS LAST, capture_id) AS rn,
+         count(*) OVER (PARTITION BY page) AS n, min(capture_id) OVER (PARTITION BY page) AS first_capture_id
+  FROM k)
+SELECT first_capture_id, capture_id AS best_capture_id FROM r WHERE rn = 1 AND n > 1""",
+}
