@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import repeated_lines, shared_spans, tokens
+from lexmill.llm import encoding_repair, repeated_lines, shared_spans, tokens, truncation
 from lexmill.runtime import read, spread
 
 
@@ -21,6 +21,22 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return repeated_lines.repeated_line_report(read(spark, root, "captures"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return encoding_repair.wrongly_decoded(read(spark, root, "captures")).select("capture_id", "field")
+
+
+def p3_restored(spark: SparkSession, root: str) -> DataFrame:
+    return encoding_repair.restore(read(spark, root, "captures").select("capture_id", "title", "text"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncation_rates(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(spread(read(spark, root, "documents").select("doc_id", "text")))
 
@@ -37,6 +53,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
     "p1_report": p1_report,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_share": p10_share,
