@@ -98,7 +98,6 @@ def _genuine(run: str, before: str, name: str) -> bool:
 
 # Script runs for one-byte encodings read as one another.
 _LATIN_RUN = regex.compile(r"[¸¨À-ÿ]{4,}")
-_CYRILLIC_CASE = regex.compile(r"\b[а-яё][А-ЯЁ]{2,}\b|\b[а-яё]+[А-ЯЁ]+[а-яё]*[А-ЯЁ]\w*")
 _MIXED = regex.compile(r"(?<![\p{L}\p{M}\d])(?:[A-Za-z]+[Ѐ-џҐґ]+[A-Za-z]*|[Ѐ-џҐґ]{1,2}[A-Za-z]{2,}[Ѐ-џҐґ]*[A-Za-z]*)(?![\p{L}\p{M}])")
 _ALWAYS = regex.compile(r"[�\x80-\x84\x86-\x9f]|(?<=[\p{Ll}\d.,;:!?])Â(?=\s|$)|(?<=\s)Â(?=\s)")
 _LOST_SPACE = regex.compile(r"(?<=[\p{Ll}\d.,;:!?\s])Â(?=\s)")
@@ -151,7 +150,9 @@ def repair(text: str | None) -> tuple[str | None, bool]:
     (replacement characters, stray controls) stay and count. Null and empty texts hold nothing."""
     if not text or text.isascii():
         return text, False
-    found = False
+    turned = _russian(text)
+    found = turned != text
+    text = turned
     for _ in range(3):
         text, changed = _repair_once(text)
         found |= changed
@@ -173,13 +174,57 @@ def repair(text: str | None) -> tuple[str | None, bool]:
         if back:
             found = True
             text = _MIXED.sub(lambda m: _latin_word(m.group()) or m.group(), text)
-        elif len(_CYRILLIC_CASE.findall(text)) >= 5:
-            turned = text.encode("cp1251", "replace").decode("koi8_r", "replace")
-            found = True
-            text = turned if len(_CYRILLIC_CASE.findall(turned)) == 0 else text
     return text, found
 
 
+_FUNCTION_WORDS = regex.compile(r"(?<![\p{L}])(?:и|в|на|с|для|по|не|как|к|из|от|при|за|что|до|или|о)(?![\p{L}])", regex.I)
+_FLIPPED = regex.compile(r"(?<![\p{L}])[а-яё][А-ЯЁ]{2,}(?![\p{L}])")
+_FOREIGN = regex.compile(r"[\x80-\xff–-›€ŒœŠšŸŽžƒˆ˜ﬁﬂ∞∏π∑∫Ω√≈∆◊‡·‚„‰Ѐ-ӿ─-╿░-▓■-]")
+_MISREAD = tuple(
+    (shown, meant)
+    for shown in ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "cp1252", "latin-1", "mac_roman")
+    for meant in ("cp1251", "koi8_r", "cp866")
+    if shown != meant
+)
+
+
+def _reread(line: str, shown: str, meant: str) -> str | None:
+    """What a line's bytes say in another one-byte encoding; None where it isn't Russian."""
+    try:
+        raw = line.encode(shown)
+    except UnicodeEncodeError:
+        try:  # places that the encoding lacks came through as controls
+            raw = b"".join(c.encode(shown) if ord(c) < 0x80 or ord(c) > 0x9F else bytes([ord(c)]) for c in line)
+        except UnicodeEncodeError:
+            return None
+    other = raw.decode(meant, "replace")
+    strange = len(_FOREIGN.findall(line))
+    russian = len(regex.findall(r"[А-яЁё«»—–№]", other))
+    return other if russian >= 0.85 * strange and not _FLIPPED.search(other) else None
+
+
+def _russian(text: str) -> str:
+    """The text, or with its lines in the Cyrillic encoding in which most of them have the little
+    words that Russian sentences have, where as shown they have none."""
+    lines = text.split("\n")
+    open_lines = [
+        i for i, x in enumerate(lines) if len(_FOREIGN.findall(x)) >= 4 and not (_FUNCTION_WORDS.search(x) and not _FLIPPED.search(x))
+    ]
+    open_lines = [i for i in open_lines if len(_FOREIGN.findall(lines[i])) >= 0.5 * len(regex.findall(r"[\p{L}]|[^\x00-\x7f]", lines[i]))]
+    if not open_lines:
+        return text
+    best, winner = 0, {}
+    for shown, meant in _MISREAD:
+        read = {i: y for i in open_lines if (y := _reread(lines[i], shown, meant)) is not None}
+        worth = sum(len(_FUNCTION_WORDS.findall(y)) for y in read.values()) + sum(bool(_FLIPPED.search(lines[i])) for i in read)
+        if worth > best:
+            best, winner = worth, read
+    plain = all(regex.fullmatch(r"[А-яЁё\s\p{P}\d]*", lines[i]) and not _FLIPPED.search(lines[i]) for i in winner)
+    if best < (3 if plain else 2) and (plain or not best or len(winner) < len([x for x in lines if x.strip()])):
+        return text
+    return "\n".join(winner.get(i, x) for i, x in enumerate(lines))
+
+
 def _latin_word(word: str) -> str | None:
     """The Latin word whose accented letters were read as Cyrillic, or None."""
     for name in ("cp1251",):

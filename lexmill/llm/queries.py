@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import encoding_repair, repeated_lines, shared_spans, tokens, truncation
+from lexmill.llm import encoding_repair, repeated_lines, residue, shared_spans, tokens, truncation
 from lexmill.runtime import read, spread
 
 
@@ -37,6 +37,15 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncation_rates(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue(read(spark, root, "captures")).select("capture_id", "field")
+
+
+def p6_clean(spark: SparkSession, root: str) -> DataFrame:
+    captures = read(spark, root, "captures").select("capture_id", "title", "text", "error")
+    return residue.exclude(captures, residue.residue(captures))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(spread(read(spark, root, "documents").select("doc_id", "text")))
 
@@ -57,6 +66,8 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_share": p10_share,
