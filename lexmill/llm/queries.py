@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import encoding_repair, repeated_lines, residue, shared_spans, tokens, truncation
+from lexmill.llm import encoding_repair, main_body, repeated_lines, residue, shared_spans, tokens, truncation
 from lexmill.runtime import read, spread
 
 
@@ -21,6 +21,14 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return repeated_lines.repeated_line_report(read(spark, root, "captures"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return main_body.outside_body(read(spark, root, "captures"))
+
+
+def p2_body(spark: SparkSession, root: str) -> DataFrame:
+    return main_body.main_body(read(spark, root, "captures").select("capture_id", "url_canonical", "extraction_method", "text"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return encoding_repair.wrongly_decoded(read(spark, root, "captures")).select("capture_id", "field")
 
@@ -62,6 +70,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_body": p2_body,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p5_found": p5_found,
