@@ -1,0 +1,141 @@
+"""Same or nearly the same records in the training split and in an evaluation split.
+
+Records are vectors of weighted terms, five words in a row, compared by cosine. Which change counts
+as near comes from the problem's statement (a small part of the words, some sentences dropped, added
+or moved): one changed word touches five terms, so the cosine of such pairs starts at about 0.74,
+that of texts which only share a passage ends at about 0.4, and the threshold stands between.
+
+Equal texts, after typesetting is undone, form a class with one vector, so copies are never joined
+with one another. The join is an inverted list over the terms both splits have. What a term weighs
+at most in the other split prunes everything no other vector can match (terms of one split only
+never leave their record but for the norm), and of the rest each vector lists its rarest terms only,
+until the norm of the residual is below the threshold: by Cauchy-Schwarz a pair that shares none of
+them can't reach it. Candidates get their exact dot product.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexmill.runtime import cut
+
+WORDS = 5
+THRESHOLD = 0.6
+
+
+def terms_of(text: Column) -> Column:
+    """Words of a text with typesetting undone: lower case, ligatures spelt out, soft hyphens and
+    invisible characters dropped, thousands joined. Null has none."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        t = F.replace(t, F.lit(ligature), F.lit(letters))
+    t = F.regexp_replace(t, "[­​-‏⁠﻿]", "")
+    t = F.regexp_replace(t, r"(?<=\d)[,.  ' ](?=\d{3}(?!\d))", "")
+    return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _shingles(words: Column) -> Column:
+    """Hashes of the runs of WORDS words; a shorter text is one run."""
+    n = F.size(words)
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(n - (WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WORDS), " ")))
+    )
+
+
+def sides(golden: DataFrame) -> DataFrame:
+    """(doc_id, in_train, in_eval, splits): in which splits a document is, spelling undone. Rows whose
+    split is null or none of train, dev and test say nothing."""
+    split = F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", ""))
+    named = golden.select("doc_id", split.alias("split")).where(F.col("split").isin("train", "dev", "test") & F.col("doc_id").isNotNull())
+    return named.groupBy("doc_id").agg(
+        F.max(F.col("split") == "train").alias("in_train"),
+        F.max(F.col("split") != "train").alias("in_eval"),
+        F.array_sort(F.collect_set(F.when(F.col("split") != "train", F.col("split")))).alias("splits"),
+    )
+
+
+def overlaps(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id_a, doc_id_b), a before b: every two different documents, one in train and one in dev
+    or test, whose texts are the same or near. Null, empty and blank texts are near nothing; repeated
+    golden rows and documents count once; empty tables give no rows."""
+    words = terms_of(F.col("text"))
+    docs = dataset_base.select("doc_id", "text").join(sides(golden), "doc_id").select(
+        "doc_id", "in_train", "in_eval", words.alias("words")
+    ).where(F.size("words") > 0)
+    keyed = docs.select("doc_id", "in_train", "in_eval", F.sha2(F.array_join("words", " "), 256).alias("k"), _shingles(F.col("words")).alias("terms"))
+    keyed = cut(keyed.withColumn("cls", F.xxhash64("k")))
+    members = keyed.select("cls", "doc_id", "in_train", "in_eval").distinct()
+    classes = keyed.groupBy("cls").agg(
+        F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"), F.min(F.struct("doc_id", "terms")).getField("terms").alias("terms")
+    )
+    links = _near_classes(classes, threshold)
+    same = classes.where(F.col("in_train") & F.col("in_eval")).select(F.col("cls").alias("t"), F.col("cls").alias("e"))
+    pairs = links.select("t", "e").unionByName(same)
+    train = members.where("in_train").select(F.col("cls").alias("t"), F.col("doc_id").alias("x"))
+    evaluation = members.where("in_eval").select(F.col("cls").alias("e"), F.col("doc_id").alias("y"))
+    out = pairs.join(train, "t").join(evaluation, "e").where(F.col("x") != F.col("y"))
+    return out.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+
+
+def _near_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(t, e) of distinct classes, t with a training and e with an evaluation document, whose cosine
+    is at least the threshold."""
+    n = classes.count()
+    tf = lambda c: 1 + F.log(c.cast("double"))
+    listed = classes.select("cls", "in_train", "in_eval", F.explode("terms").alias("term"))
+    counts = listed.groupBy("cls", "term", "in_train", "in_eval").agg(F.count(F.lit(1)).alias("c"))
+    alone = math.log(1 + max(n, 1))  # weight of a term no other split has
+    sums = counts.groupBy("cls").agg(F.sum(F.pow(tf(F.col("c")) * F.lit(alone), 2)).alias("base"))
+    by_term = Window.partitionBy("term")
+    shared = (
+        counts.withColumn("df", F.count(F.lit(1)).over(by_term))
+        .withColumn("t_any", F.max("in_train").over(by_term))
+        .withColumn("e_any", F.max("in_eval").over(by_term))
+        .where((F.col("df") > 1) & F.col("t_any") & F.col("e_any"))
+        .withColumn("w", tf(F.col("c")) * F.log(1 + F.lit(float(n)) / F.col("df")))
+        .select("cls", "term", "in_train", "in_eval", "df", "w", (F.pow(F.col("w"), 2) - F.pow(tf(F.col("c")) * F.lit(alone), 2)).alias("less"))
+    )
+    shared = cut(shared)
+    norms = shared.groupBy("cls").agg(F.sum("less").alias("less")).join(sums, "cls").select("cls", F.sqrt(F.col("base") + F.col("less")).alias("norm"))
+    unit = shared.join(norms, "cls").select("cls", "term", "in_train", "in_eval", "df", (F.col("w") / F.col("norm")).alias("w"))
+    rarest = Window.partitionBy("cls").orderBy("df", "term")
+    before = F.coalesce(F.sum(F.pow("w", 2)).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum(F.pow("w", 2)).over(Window.partitionBy("cls"))
+    slack = 1e-9
+    unit = cut(unit.withColumn("rest", total - before).withColumn("total", total))
+    # a vector whose shared terms together are below the threshold matches nothing
+    listed = unit.where((F.col("rest") >= threshold * threshold - slack) & (F.col("total") >= threshold * threshold - slack))
+    left = listed.where("in_train").select("term", F.col("cls").alias("t"))
+    right = listed.where("in_eval").select("term", F.col("cls").alias("e"))
+    candidates = left.join(right, "term").where(F.col("t") != F.col("e")).select("t", "e").distinct()
+    t_side = unit.select(F.col("cls").alias("t"), "term", F.col("w").alias("wt"))
+    e_side = unit.select(F.col("cls").alias("e"), "term", F.col("w").alias("we"))
+    dots = candidates.join(t_side, "t").join(e_side, ["e", "term"]).groupBy("t", "e").agg(F.sum(F.col("wt") * F.col("we")).alias("cosine"))
+    return dots.where(F.col("cosine") >= threshold - slack)
+
+
+def overlap_report(golden: DataFrame, dataset_base: DataFrame) -> DataFrame:
+    """(split, industry, n_eval, n_overlapping, n_pairs) per evaluation split and industry of the
+    evaluation document; a missing industry is ''. A document in both dev and test counts in each."""
+    pairs = cut(overlaps(golden, dataset_base))
+    side = sides(golden)
+    industry = F.coalesce(F.regexp_replace("industry", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    base = dataset_base.select("doc_id", industry.alias("industry")).dropDuplicates(["doc_id"])
+    evaluation = side.where("in_eval").select("doc_id", F.explode("splits").alias("split")).join(base, "doc_id")
+    both = pairs.select(F.col("doc_id_a").alias("doc_id"), F.col("doc_id_b").alias("other")).unionByName(
+        pairs.select(F.col("doc_id_b").alias("doc_id"), F.col("doc_id_a").alias("other"))
+    )
+    train = side.where("in_train").select(F.col("doc_id").alias("other"))
+    per = both.join(train, "other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return (
+        evaluation.join(per, "doc_id", "left")
+        .groupBy("split", "industry")
+        .agg(
+            F.count(F.lit(1)).alias("n_eval"),
+            F.count_if(F.col("pairs") > 0).alias("n_overlapping"),
+            F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"),
+        )
+    )

@@ -1,0 +1,20 @@
+"""Queries of the split overlap operator (problem 7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill.operators.split_overlap import overlap_report, overlaps
+from lexmill.runtime import read
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return overlaps(read(spark, root, "golden"), read(spark, root, "dataset_base"))
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap_report(read(spark, root, "golden"), read(spark, root, "dataset_base"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_report": p7_report}
+ORACLE: dict[str, str] = {}
