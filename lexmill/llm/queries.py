@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import encoding_repair, main_body, repeated_lines, residue, shared_spans, tokens, truncation
+from lexmill.llm import encoding_repair, main_body, mixing, repeated_lines, residue, shared_spans, tokens, truncation
 from lexmill.runtime import read, spread
 
 
@@ -58,6 +58,14 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(spread(read(spark, root, "documents").select("doc_id", "text")))
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(read(spark, root, "documents"), read(spark, root, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(read(spark, root, "documents"), read(spark, root, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans.shared_pairs(read(spark, root, "documents"))
 
@@ -79,6 +87,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_share": p10_share,
 }
