@@ -24,6 +24,7 @@ from lexmill.runtime import cut
 
 WORDS = 5
 THRESHOLD = 0.6
+BROADCAST_ROWS = 1_000_000
 
 
 def terms_of(text: Column) -> Column:
@@ -38,11 +39,15 @@ def terms_of(text: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    """Hashes of the runs of WORDS words; a shorter text is one run."""
-    n = F.size(words)
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - (WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WORDS), " ")))
-    )
+    """Distinct hashes of the runs of WORDS words; a shorter text is one run. The words are bound to a
+    variable, so that their expression is evaluated once a text and not once a run."""
+
+    def runs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - (WORDS - 1), F.lit(1))
+        hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(hashes))
+
+    return F.transform(F.array(words), runs)[0]
 
 
 def sides(golden: DataFrame) -> DataFrame:
@@ -57,21 +62,30 @@ def sides(golden: DataFrame) -> DataFrame:
     )
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` hinted for broadcast if it has at most BROADCAST_ROWS rows (each some 40 bytes); a
+    larger one is joined by shuffling."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def overlaps(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id_a, doc_id_b), a before b: every two different documents, one in train and one in dev
     or test, whose texts are the same or near. Null, empty and blank texts are near nothing; repeated
     golden rows and documents count once; empty tables give no rows."""
+    side = cut(sides(golden))
     words = terms_of(F.col("text"))
-    docs = dataset_base.select("doc_id", "text").join(sides(golden), "doc_id").select(
-        "doc_id", "in_train", "in_eval", words.alias("words")
-    ).where(F.size("words") > 0)
-    keyed = docs.select("doc_id", "in_train", "in_eval", F.sha2(F.array_join("words", " "), 256).alias("k"), _shingles(F.col("words")).alias("terms"))
-    keyed = cut(keyed.withColumn("cls", F.xxhash64("k")))
-    members = keyed.select("cls", "doc_id", "in_train", "in_eval").distinct()
-    classes = keyed.groupBy("cls").agg(
-        F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"), F.min(F.struct("doc_id", "terms")).getField("terms").alias("terms")
+    docs = dataset_base.select("doc_id", "text").join(_small(side), "doc_id").select("doc_id", "in_train", "in_eval", words.alias("words"))
+    docs = docs.where(F.size("words") > 0)
+    # copies first, by a digest: neither texts nor terms are shuffled for it
+    keyed = cut(docs.select("doc_id", "in_train", "in_eval", F.sha2(F.array_join("words", " "), 256).alias("k")))
+    members = keyed.select(F.xxhash64("k").alias("cls"), "doc_id", "in_train", "in_eval").distinct()
+    classes = cut(
+        members.groupBy("cls").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"), F.min("doc_id").alias("doc_id"))
     )
-    links = _near_classes(classes, threshold)
+    reps = dataset_base.select("doc_id", "text").join(_small(classes), "doc_id")
+    # the terms of a class, each once; a document stored twice with different texts gives both
+    terms = reps.select("cls", "in_train", "in_eval", _shingles(words).alias("terms"))
+    links = _near_classes(terms, classes.count(), threshold)
     same = classes.where(F.col("in_train") & F.col("in_eval")).select(F.col("cls").alias("t"), F.col("cls").alias("e"))
     pairs = links.select("t", "e").unionByName(same)
     train = members.where("in_train").select(F.col("cls").alias("t"), F.col("doc_id").alias("x"))
@@ -80,41 +94,43 @@ def overlaps(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRE
     return out.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
-def _near_classes(classes: DataFrame, threshold: float) -> DataFrame:
+def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(t, e) of distinct classes, t with a training and e with an evaluation document, whose cosine
-    is at least the threshold."""
-    n = classes.count()
-    tf = lambda c: 1 + F.log(c.cast("double"))
-    listed = classes.select("cls", "in_train", "in_eval", F.explode("terms").alias("term"))
-    counts = listed.groupBy("cls", "term", "in_train", "in_eval").agg(F.count(F.lit(1)).alias("c"))
-    alone = math.log(1 + max(n, 1))  # weight of a term no other split has
-    sums = counts.groupBy("cls").agg(F.sum(F.pow(tf(F.col("c")) * F.lit(alone), 2)).alias("base"))
+    is at least the threshold. ``classes`` has (cls, in_train, in_eval, terms), ``n`` rows.
+
+    A term weighs log(1 + n / classes that have it); one that only one split has weighs as a term of
+    one class, which is all it can be for the pairs sought, so its postings are dropped unread.
+    """
+    alone = math.log(1 + max(n, 1))
     by_term = Window.partitionBy("term")
     shared = (
-        counts.withColumn("df", F.count(F.lit(1)).over(by_term))
+        classes.select("cls", "in_train", "in_eval", F.explode("terms").alias("term"))
+        .withColumn("df", F.count(F.lit(1)).over(by_term))
         .withColumn("t_any", F.max("in_train").over(by_term))
         .withColumn("e_any", F.max("in_eval").over(by_term))
         .where((F.col("df") > 1) & F.col("t_any") & F.col("e_any"))
-        .withColumn("w", tf(F.col("c")) * F.log(1 + F.lit(float(n)) / F.col("df")))
-        .select("cls", "term", "in_train", "in_eval", "df", "w", (F.pow(F.col("w"), 2) - F.pow(tf(F.col("c")) * F.lit(alone), 2)).alias("less"))
+        .select("cls", "term", "in_train", "in_eval", "df", F.log(1 + F.lit(float(n)) / F.col("df")).alias("w"))
     )
     shared = cut(shared)
-    norms = shared.groupBy("cls").agg(F.sum("less").alias("less")).join(sums, "cls").select("cls", F.sqrt(F.col("base") + F.col("less")).alias("norm"))
+    own = shared.groupBy("cls").agg(F.sum(F.pow("w", 2) - F.lit(alone**2)).alias("less"))
+    sizes = classes.select("cls", F.size("terms").alias("terms")).groupBy("cls").agg(F.max("terms").alias("terms"))
+    norms = own.join(sizes, "cls").select("cls", F.sqrt(F.col("terms") * F.lit(alone**2) + F.col("less")).alias("norm"))
     unit = shared.join(norms, "cls").select("cls", "term", "in_train", "in_eval", "df", (F.col("w") / F.col("norm")).alias("w"))
     rarest = Window.partitionBy("cls").orderBy("df", "term")
     before = F.coalesce(F.sum(F.pow("w", 2)).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum(F.pow("w", 2)).over(Window.partitionBy("cls"))
-    slack = 1e-9
-    unit = cut(unit.withColumn("rest", total - before).withColumn("total", total))
-    # a vector whose shared terms together are below the threshold matches nothing
-    listed = unit.where((F.col("rest") >= threshold * threshold - slack) & (F.col("total") >= threshold * threshold - slack))
+    least = threshold * threshold - 1e-9
+    # a vector whose shared terms together stay below the threshold matches nothing; of the others
+    # the residual from a term on is what may stay unlisted
+    unit = cut(unit.withColumns({"rest": total - before, "total": total}).where(F.col("total") >= least))
+    listed = unit.where(F.col("rest") >= least)
     left = listed.where("in_train").select("term", F.col("cls").alias("t"))
     right = listed.where("in_eval").select("term", F.col("cls").alias("e"))
     candidates = left.join(right, "term").where(F.col("t") != F.col("e")).select("t", "e").distinct()
     t_side = unit.select(F.col("cls").alias("t"), "term", F.col("w").alias("wt"))
     e_side = unit.select(F.col("cls").alias("e"), "term", F.col("w").alias("we"))
     dots = candidates.join(t_side, "t").join(e_side, ["e", "term"]).groupBy("t", "e").agg(F.sum(F.col("wt") * F.col("we")).alias("cosine"))
-    return dots.where(F.col("cosine") >= threshold - slack)
+    return dots.where(F.col("cosine") >= threshold - 1e-9)
 
 
 def overlap_report(golden: DataFrame, dataset_base: DataFrame) -> DataFrame:
