@@ -238,15 +238,16 @@ def _latin_word(word: str) -> str | None:
 
 
 #: Characters that some wrong decoding produces and ordinary text of these languages hardly has, or
-#: pairs of characters that only a wrong decoding puts side by side.
+#: pairs of characters that only a wrong decoding puts side by side. Everything here begins with a
+#: character beyond ASCII, which the look-ahead tests first: most places of most texts end there.
 SUSPICIOUS = (
-    r"[\u0080-\u009f�─-╿√∆∂∑∫≠¬ƒ₧⌐]"
-    r"|[Â-ß][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]|[à-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{2}|[a-z\d.,;:!?\s]Â\s|Ã "
-    r"|‚[ÄÇËà]|Ç[¢-¿]"
-    r"|[ЀЂ-Џѐђ-џҐґ]|[РСВГ][ -¿–-›€™№]"
-    r"|[A-Za-z][Ѐ-џ]|[Ѐ-џ][A-Za-z]"
+    r"(?=[^\x00-\x7f])(?:[\u0080-\u009f�─-╿√∆∂∑∫≠¬ƒ₧⌐一-鿿]"
+    r"|[Â-ß][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]|[à-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{2}|(?<=[a-z\d.,;:!?\s])Â\s|Ã "
+    r"|‚[ÄÇËà]"
+    r"|[ЀЂ-Џѐђ-џҐґ]|[РСВГ][ -¿–-›€™№]"
+    r"|(?<=[A-Za-z])[Ѐ-џ]|[Ѐ-џ](?=[A-Za-z])"
     r"|[À-ÿ]{4}|Γ[Çé]|[а-я][А-Я]"
-    r"|[—–][\u0080-ÿ–-≠Ωπ∏]|[一-鿿]"
+    r"|[—–][\u0080-ÿ–-≠Ωπ∏])"
 )
 
 
