@@ -43,8 +43,8 @@ def _shingles(words: Column) -> Column:
     variable, so that their expression is evaluated once a text and not once a run."""
 
     def runs(w: Column) -> Column:
-        last = F.greatest(F.size(w) - (WORDS - 1), F.lit(1))
-        hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))
+        last = F.greatest(F.size(w) - WORDS, F.lit(0))
+        hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
         return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(hashes))
 
     return F.transform(F.array(words), runs)[0]
@@ -101,36 +101,42 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     A term weighs log(1 + n / classes that have it); one that only one split has weighs as a term of
     one class, which is all it can be for the pairs sought, so its postings are dropped unread.
     """
-    alone = math.log(1 + max(n, 1))
+    alone = math.log(1 + max(n, 1)) ** 2
+    least = threshold * threshold - 1e-9
+    # one shuffle of the terms, each with its class and, in one number, the class's size and sides
+    meta = F.size("terms") * 4 + F.col("in_train").cast("int") * 2 + F.col("in_eval").cast("int")
     by_term = Window.partitionBy("term")
+    bit = lambda k: F.col("meta").bitwiseAND(F.lit(k)) > 0
     shared = (
-        classes.select("cls", "in_train", "in_eval", F.explode("terms").alias("term"))
+        classes.select("cls", meta.alias("meta"), F.explode("terms").alias("term"))
         .withColumn("df", F.count(F.lit(1)).over(by_term))
-        .withColumn("t_any", F.max("in_train").over(by_term))
-        .withColumn("e_any", F.max("in_eval").over(by_term))
+        .withColumn("t_any", F.max(bit(2)).over(by_term))
+        .withColumn("e_any", F.max(bit(1)).over(by_term))
         .where((F.col("df") > 1) & F.col("t_any") & F.col("e_any"))
-        .select("cls", "term", "in_train", "in_eval", "df", F.log(1 + F.lit(float(n)) / F.col("df")).alias("w"))
     )
-    shared = cut(shared)
-    own = shared.groupBy("cls").agg(F.sum(F.pow("w", 2) - F.lit(alone**2)).alias("less"))
-    sizes = classes.select("cls", F.size("terms").alias("terms")).groupBy("cls").agg(F.max("terms").alias("terms"))
-    norms = own.join(sizes, "cls").select("cls", F.sqrt(F.col("terms") * F.lit(alone**2) + F.col("less")).alias("norm"))
-    unit = shared.join(norms, "cls").select("cls", "term", "in_train", "in_eval", "df", (F.col("w") / F.col("norm")).alias("w"))
-    rarest = Window.partitionBy("cls").orderBy("df", "term")
-    before = F.coalesce(F.sum(F.pow("w", 2)).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum(F.pow("w", 2)).over(Window.partitionBy("cls"))
-    least = threshold * threshold - 1e-9
-    # a vector whose shared terms together stay below the threshold matches nothing; of the others
-    # the residual from a term on is what may stay unlisted
-    unit = cut(unit.withColumns({"rest": total - before, "total": total}).where(F.col("total") >= least))
-    listed = unit.where(F.col("rest") >= least)
-    left = listed.where("in_train").select("term", F.col("cls").alias("t"))
-    right = listed.where("in_eval").select("term", F.col("cls").alias("e"))
+    # the vectors, rarest term first; those whose shared terms together stay below the threshold
+    # match nothing and end here
+    vectors = shared.groupBy("cls", "meta").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "term"))).alias("v"))
+    square = lambda x: F.pow(F.log(1 + F.lit(float(n)) / x["df"]), 2)
+    mass = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + square(x))
+    whole = mass + F.lit(alone) * (F.floor(F.col("meta") / 4) - F.size("v"))
+    vectors = cut(vectors.withColumns({"mass": mass, "whole": whole}).where(F.col("mass") >= F.col("whole") * least))
+    # a term is listed while the residual from it on still reaches the threshold
+    start = F.struct(F.col("mass").alias("rest"), F.lit(0).alias("n"))
+    prefix = F.aggregate(
+        "v",
+        start,
+        lambda acc, x: F.struct((acc["rest"] - square(x)).alias("rest"), F.when(acc["rest"] >= F.col("whole") * least, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
+    )["n"]
+    listed = vectors.select("cls", "meta", F.explode(F.slice("v", 1, prefix)).alias("x")).select("cls", "meta", F.col("x.term").alias("term"))
+    left = listed.where(bit(2)).select("term", F.col("cls").alias("t"))
+    right = listed.where(bit(1)).select("term", F.col("cls").alias("e"))
     candidates = left.join(right, "term").where(F.col("t") != F.col("e")).select("t", "e").distinct()
-    t_side = unit.select(F.col("cls").alias("t"), "term", F.col("w").alias("wt"))
-    e_side = unit.select(F.col("cls").alias("e"), "term", F.col("w").alias("we"))
-    dots = candidates.join(t_side, "t").join(e_side, ["e", "term"]).groupBy("t", "e").agg(F.sum(F.col("wt") * F.col("we")).alias("cosine"))
-    return dots.where(F.col("cosine") >= threshold - 1e-9)
+    # exact products: the lists of both sides meet as arrays, each as long as a document
+    side = lambda c: vectors.select(F.col("cls").alias(c), F.col("v").alias(f"v_{c}"), F.sqrt("whole").alias(f"norm_{c}"))
+    both = candidates.join(side("t"), "t").join(side("e"), "e")
+    dot = F.aggregate(F.array_intersect("v_t", "v_e"), F.lit(0.0), lambda acc, x: acc + square(x))
+    return both.select("t", "e", (dot / (F.col("norm_t") * F.col("norm_e"))).alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
 def overlap_report(golden: DataFrame, dataset_base: DataFrame) -> DataFrame:
