@@ -68,6 +68,9 @@ def _span_pattern(table: dict[str, int]) -> regex.Pattern:
 
 
 SPANS = {name: _span_pattern(table) for name, table in TABLES.items()}
+#: Characters that can begin, and that can go on, a multibyte sequence in each encoding.
+LEADS = {name: frozenset(c for c, b in table.items() if _class(b) in (LEAD2, LEAD3, LEAD4)) for name, table in TABLES.items()}
+TRAILS = {name: frozenset(c for c, b in table.items() if _class(b) == TRAIL) for name, table in TABLES.items()}
 
 
 #: Characters that people write in these scripts; a decoded run is scored by how many it has.
@@ -122,7 +125,10 @@ def _cyrillic_words(run: str) -> str | None:
 def _repair_once(text: str) -> tuple[str, bool]:
     """One decoding of all garbled runs, with the encoding that explains most characters first."""
     best: tuple[int, str] | None = None
+    present = set(text)
     for name, pattern in SPANS.items():
+        if LEADS[name].isdisjoint(present) or TRAILS[name].isdisjoint(present):
+            continue
         table = TABLES[name]
         gain = 0
         out, at = [], 0
@@ -207,10 +213,13 @@ def _russian(text: str) -> str:
     """The text, or with its lines in the Cyrillic encoding in which most of them have the little
     words that Russian sentences have, where as shown they have none."""
     lines = text.split("\n")
+    strange = lambda x: len(x) - len(x.encode("ascii", "ignore"))
     open_lines = [
-        i for i, x in enumerate(lines) if len(_FOREIGN.findall(x)) >= 4 and not (_FUNCTION_WORDS.search(x) and not _FLIPPED.search(x))
+        i
+        for i, x in enumerate(lines)
+        if (k := strange(x)) >= 4 and k >= 0.3 * len(x) and len(_FOREIGN.findall(x)) >= 0.5 * len(regex.findall(r"[\p{L}]|[^\x00-\x7f]", x))
+        if not (_FUNCTION_WORDS.search(x) and not _FLIPPED.search(x))
     ]
-    open_lines = [i for i in open_lines if len(_FOREIGN.findall(lines[i])) >= 0.5 * len(regex.findall(r"[\p{L}]|[^\x00-\x7f]", lines[i]))]
     if not open_lines:
         return text
     best, winner = 0, {}
