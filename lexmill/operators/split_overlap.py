@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.runtime import cut
+from lexmill.runtime import cut, spread
 
 WORDS = 5
 THRESHOLD = 0.6
@@ -30,11 +30,12 @@ BROADCAST_ROWS = 1_000_000
 def terms_of(text: Column) -> Column:
     """Words of a text with typesetting undone: lower case, ligatures spelt out, soft hyphens and
     invisible characters dropped, thousands joined. Null has none."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.lower(F.translate(F.coalesce(text, F.lit("")), "\u00ad\u200b\u200c\u200d\u2060\ufeff", ""))
+    spelt = t
     for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        t = F.replace(t, F.lit(ligature), F.lit(letters))
-    t = F.regexp_replace(t, "[­​-‏⁠﻿]", "")
-    t = F.regexp_replace(t, r"(?<=\d)[,.  ' ](?=\d{3}(?!\d))", "")
+        spelt = F.replace(spelt, F.lit(ligature), F.lit(letters))
+    t = F.when(t.rlike("[ﬀ-ﬄ]"), spelt).otherwise(t)
+    t = F.regexp_replace(t, "(?<=\\d)[,.\u00a0\u202f ' ](?=\\d{3}(?!\\d))", "")
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
@@ -73,18 +74,15 @@ def overlaps(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRE
     or test, whose texts are the same or near. Null, empty and blank texts are near nothing; repeated
     golden rows and documents count once; empty tables give no rows."""
     side = cut(sides(golden))
-    words = terms_of(F.col("text"))
-    docs = dataset_base.select("doc_id", "text").join(_small(side), "doc_id").select("doc_id", "in_train", "in_eval", words.alias("words"))
-    docs = docs.where(F.size("words") > 0)
-    # copies first, by a digest: neither texts nor terms are shuffled for it
-    keyed = cut(docs.select("doc_id", "in_train", "in_eval", F.sha2(F.array_join("words", " "), 256).alias("k")))
-    members = keyed.select(F.xxhash64("k").alias("cls"), "doc_id", "in_train", "in_eval").distinct()
+    docs = spread(dataset_base.select("doc_id", "text")).join(_small(side), "doc_id")
+    # the terms are made once and kept; equal lists of terms are a class of copies
+    keyed = cut(docs.select("doc_id", "in_train", "in_eval", _shingles(terms_of(F.col("text"))).alias("terms"))).where(F.size("terms") > 0)
+    keyed = keyed.withColumn("cls", F.xxhash64(F.xxhash64("terms"), F.hash("terms"), F.size("terms")))
+    members = cut(keyed.select("cls", "doc_id", "in_train", "in_eval").distinct())
     classes = cut(
         members.groupBy("cls").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"), F.min("doc_id").alias("doc_id"))
     )
-    reps = dataset_base.select("doc_id", "text").join(_small(classes), "doc_id")
-    # the terms of a class, each once; a document stored twice with different texts gives both
-    terms = reps.select("cls", "in_train", "in_eval", _shingles(words).alias("terms"))
+    terms = keyed.select("cls", "doc_id", "terms").join(_small(classes), ["cls", "doc_id"]).select("cls", "in_train", "in_eval", "terms")
     links = _near_classes(terms, classes.count(), threshold)
     same = classes.where(F.col("in_train") & F.col("in_eval")).select(F.col("cls").alias("t"), F.col("cls").alias("e"))
     pairs = links.select("t", "e").unionByName(same)
@@ -114,28 +112,32 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
         .withColumn("e_any", F.max(bit(1)).over(by_term))
         .where((F.col("df") > 1) & F.col("t_any") & F.col("e_any"))
     )
-    # the vectors, rarest term first; those whose shared terms together stay below the threshold
-    # match nothing and end here
-    vectors = shared.groupBy("cls", "meta").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "term"))).alias("v"))
-    square = lambda x: F.pow(F.log(1 + F.lit(float(n)) / x["df"]), 2)
-    mass = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + square(x))
-    whole = mass + F.lit(alone) * (F.floor(F.col("meta") / 4) - F.size("v"))
-    vectors = cut(vectors.withColumns({"mass": mass, "whole": whole}).where(F.col("mass") >= F.col("whole") * least))
+    # the vectors, as two lists with the rarest term first; those whose shared terms together stay
+    # below the threshold match nothing and end here
+    lists = shared.groupBy("cls", "meta").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("df").cast("int")).alias("dfs"))
+    order = F.array_sort(F.arrays_zip("dfs", "terms"))
+    weight = lambda df: F.pow(F.log(1 + F.lit(float(n)) / df), 2)
+    mass = F.aggregate("dfs", F.lit(0.0), lambda acc, df: acc + weight(df))
+    whole = mass + F.lit(alone) * (F.floor(F.col("meta") / 4) - F.size("terms"))
+    heavy = lists.withColumns({"mass": mass, "whole": whole}).where(F.col("mass") >= F.col("whole") * least)
+    vectors = cut(heavy.withColumn("v", order).select("cls", "meta", "mass", "whole", F.col("v.terms").alias("terms"), F.col("v.dfs").alias("dfs")))
     # a term is listed while the residual from it on still reaches the threshold
     start = F.struct(F.col("mass").alias("rest"), F.lit(0).alias("n"))
     prefix = F.aggregate(
-        "v",
+        "dfs",
         start,
-        lambda acc, x: F.struct((acc["rest"] - square(x)).alias("rest"), F.when(acc["rest"] >= F.col("whole") * least, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
+        lambda acc, df: F.struct((acc["rest"] - weight(df)).alias("rest"), F.when(acc["rest"] >= F.col("whole") * least, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
     )["n"]
-    listed = vectors.select("cls", "meta", F.explode(F.slice("v", 1, prefix)).alias("x")).select("cls", "meta", F.col("x.term").alias("term"))
+    listed = vectors.select("cls", "meta", F.explode(F.slice("terms", F.lit(1), prefix)).alias("term"))
     left = listed.where(bit(2)).select("term", F.col("cls").alias("t"))
     right = listed.where(bit(1)).select("term", F.col("cls").alias("e"))
     candidates = left.join(right, "term").where(F.col("t") != F.col("e")).select("t", "e").distinct()
-    # exact products: the lists of both sides meet as arrays, each as long as a document
-    side = lambda c: vectors.select(F.col("cls").alias(c), F.col("v").alias(f"v_{c}"), F.sqrt("whole").alias(f"norm_{c}"))
-    both = candidates.join(side("t"), "t").join(side("e"), "e")
-    dot = F.aggregate(F.array_intersect("v_t", "v_e"), F.lit(0.0), lambda acc, x: acc + square(x))
+    # exact products: the lists of both sides meet, each as long as a document
+    zipped = F.arrays_zip("terms", "dfs")
+    t_side = vectors.select(F.col("cls").alias("t"), zipped.alias("v_t"), F.sqrt("whole").alias("norm_t"))
+    e_side = vectors.select(F.col("cls").alias("e"), zipped.alias("v_e"), F.sqrt("whole").alias("norm_e"))
+    both = candidates.join(t_side, "t").join(e_side, "e")
+    dot = F.aggregate(F.array_intersect("v_t", "v_e"), F.lit(0.0), lambda acc, x: acc + weight(x["dfs"]))
     return both.select("t", "e", (dot / (F.col("norm_t") * F.col("norm_e"))).alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
