@@ -16,18 +16,16 @@ them can't reach it. Candidates get their exact dot product.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.runtime import cut, spread
 
 WORDS = 5
-THRESHOLD = 0.6
+THRESHOLD = 0.7
 BROADCAST_ROWS = 1_000_000
+STEPS = 24  # powers of two of the number of classes a term can have
 
 
 def terms_of(text: Column) -> Column:
@@ -79,14 +77,15 @@ def overlaps(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRE
     side = cut(sides(golden))
     docs = spread(dataset_base.select("doc_id", "text")).join(_small(side), "doc_id")
     # the terms are made once and kept; equal lists of terms are a class of copies
-    keyed = cut(docs.select("doc_id", "in_train", "in_eval", _shingles(terms_of(F.col("text"))).alias("terms"))).where(F.size("terms") > 0)
+    # (persisted, not checkpointed: a lost part is made again from the table)
+    keyed = docs.select("doc_id", "in_train", "in_eval", _shingles(terms_of(F.col("text"))).alias("terms")).persist().where(F.size("terms") > 0)
     keyed = keyed.withColumn("cls", F.xxhash64(F.xxhash64("terms"), F.hash("terms"), F.size("terms")))
     members = cut(keyed.select("cls", "doc_id", "in_train", "in_eval").distinct())
     classes = cut(
         members.groupBy("cls").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"), F.min("doc_id").alias("doc_id"))
     )
-    terms = keyed.select("cls", "doc_id", "terms").join(_small(classes), ["cls", "doc_id"]).select("cls", "in_train", "in_eval", "terms")
-    links = _near_classes(_shared_only(terms), classes.count(), threshold)
+    terms = keyed.select("cls", "doc_id", "terms").join(_small(classes), ["cls", "doc_id"]).select("cls", "in_train", "in_eval", "terms", F.size("terms").alias("n_terms"))
+    links = _near_classes(terms, classes.count(), threshold)
     same = classes.where(F.col("in_train") & F.col("in_eval")).select(F.col("cls").alias("t"), F.col("cls").alias("e"))
     pairs = links.select("t", "e").unionByName(same)
     train = members.where("in_train").select(F.col("cls").alias("t"), F.col("doc_id").alias("x"))
@@ -95,62 +94,6 @@ def overlaps(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRE
     return out.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
-LARGEST_SKETCH = 26  # binary logarithm of a sketch's bits, at most; 8 MB
-CHUNK_BYTES = 4096
-
-
-def _shared_only(classes: DataFrame) -> DataFrame:
-    """``classes`` with only the terms that the other split may have, and ``n_terms``, how many there
-    were. Each split's terms are marked in a bit sketch of bounded size; a term whose bit isn't set in
-    the other split's sketch surely isn't there. Collisions only let a term through, and the fuller a
-    sketch of the largest size is, the less it sorts out; no shared term is ever lost."""
-    n = classes.agg(F.sum(F.size("terms"))).first()[0] or 0
-    bits = min(LARGEST_SKETCH, max(15, (4 * n).bit_length()))
-    shift = np.uint64(64 - bits)
-
-    def places(column: pa.ListArray) -> np.ndarray:
-        return (column.flatten().to_numpy().view(np.uint64) >> shift).astype(np.int64)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = [np.zeros(1 << bits, bool) for _ in range(2)]
-        for batch in batches:
-            lengths = batch.column(2).value_lengths().to_numpy()
-            at = places(batch.column(2))
-            for side in range(2):
-                marks[side][at[np.repeat(batch.column(side).to_numpy(zero_copy_only=False), lengths)]] = True
-        for side in range(2):
-            packed = np.packbits(marks[side], bitorder="little").reshape(-1, CHUNK_BYTES)
-            used = np.flatnonzero(packed.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), side, np.int32)), pa.array(used.astype(np.int32)), pa.array([packed[k].tobytes() for k in used], type=pa.binary())],
-                names=["side", "chunk", "bits"],
-            )
-
-    marked = classes.select("in_train", "in_eval", "terms").mapInArrow(mark, "side int, chunk int, bits binary")
-    sketches = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    for row in marked.groupBy("side", "chunk").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
-        sketches[row["side"]][row["chunk"] * CHUNK_BYTES : (row["chunk"] + 1) * CHUNK_BYTES] = np.frombuffer(row["bits"], np.uint8)
-    shared = classes.sparkSession.sparkContext.broadcast(sketches)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, evaluation = shared.value
-        for batch in batches:
-            terms = batch.column(3)
-            lengths = terms.value_lengths().to_numpy()
-            at = places(terms)
-            byte, bit = at >> 3, (at & 7).astype(np.uint8)
-            in_train, in_eval = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), lengths) for k in (1, 2))
-            keep = (in_train & ((evaluation[byte] >> bit & 1) > 0)) | (in_eval & ((train[byte] >> bit & 1) > 0))
-            row = np.repeat(np.arange(batch.num_rows), lengths)[keep]
-            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(offsets), pa.array(terms.flatten().to_numpy()[keep]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), kept, pa.array(lengths.astype(np.int32))], names=["cls", "in_train", "in_eval", "terms", "n_terms"]
-            )
-
-    return classes.select("cls", "in_train", "in_eval", "terms").mapInArrow(sift, "cls bigint, in_train boolean, in_eval boolean, terms array<bigint>, n_terms int")
-
-
 def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(t, e) of distinct classes, t with a training and e with an evaluation document, whose cosine
     is at least the threshold. ``classes`` has (cls, in_train, in_eval, terms, n_terms), ``n`` rows.
@@ -179,23 +122,37 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     mass = F.aggregate("dfs", F.lit(0.0), lambda acc, df: acc + weight(df))
     whole = mass + F.lit(alone) * (F.floor(F.col("meta") / 4) - F.size("terms"))
     heavy = lists.withColumns({"mass": mass, "whole": whole}).where(F.col("mass") >= F.col("whole") * least)
-    vectors = cut(heavy.withColumn("v", order).select("cls", "meta", "mass", "whole", F.col("v.terms").alias("terms"), F.col("v.dfs").alias("dfs")))
-    # a term is listed while the residual from it on is at least half the threshold. In the order of
-    # rarity the shorter of two lists has all terms up to its end in common with the other, so the
-    # product over the terms that both list is short of the cosine by less than that residual
-    half = (threshold / 2) ** 2
+    vectors = heavy.withColumn("v", order).select("cls", "meta", "mass", "whole", F.col("v.terms").alias("terms"), F.col("v.dfs").alias("dfs")).persist()
+    # a term is listed while the residual from it on still reaches the threshold
     start = F.struct(F.col("mass").alias("rest"), F.lit(0).alias("n"))
     prefix = F.aggregate(
         "dfs",
         start,
-        lambda acc, df: F.struct((acc["rest"] - weight(df)).alias("rest"), F.when(acc["rest"] >= F.col("whole") * half, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
-    )["n"]
-    listed = vectors.select("cls", "meta", F.sqrt("whole").alias("norm"), F.explode(F.slice(F.arrays_zip("terms", "dfs"), F.lit(1), prefix)).alias("x"))
+        lambda acc, df: F.when(acc["rest"] >= F.col("whole") * least, F.struct((acc["rest"] - weight(df)).alias("rest"), (acc["n"] + 1).alias("n"))).otherwise(acc),
+    )
+    cuts = vectors.select("cls", "meta", "whole", "terms", "dfs", prefix.alias("cut"))
+    listed = cuts.select("cls", "meta", F.sqrt("whole").alias("norm"), F.explode(F.slice(F.arrays_zip("terms", "dfs"), F.lit(1), F.col("cut.n"))).alias("x"))
     listed = listed.select("cls", "meta", F.col("x.terms").alias("term"), (F.sqrt(weight(F.col("x.dfs"))) / F.col("norm")).alias("u"))
     left = listed.where(bit(2)).select("term", F.col("cls").alias("t"), F.col("u").alias("ut"))
     right = listed.where(bit(1)).select("term", F.col("cls").alias("e"), F.col("u").alias("ue"))
     partial = left.join(right, "term").where(F.col("t") != F.col("e")).groupBy("t", "e").agg(F.sum(F.col("ut") * F.col("ue")).alias("p"))
-    candidates = partial.where(F.col("p") >= threshold / 2 - 1e-9).select("t", "e")
+    # In the order of rarity the list that ends first has all terms up to its end in common with the
+    # other. Beyond it the product is at most the root of both residuals there: of the one its own, of
+    # the other what it has from that many classes on, kept for powers of two
+    steps = F.transform(
+        F.sequence(F.lit(0), F.lit(STEPS)),
+        lambda k: (F.aggregate(F.filter("dfs", lambda df: df >= F.pow(F.lit(2), k)), F.lit(0.0), lambda acc, df: acc + weight(df)) / F.col("whole")).cast("float"),
+    )
+    ends = F.get(F.col("dfs"), F.least(F.col("cut.n"), F.size("dfs") - 1))
+    level = F.least(F.floor(F.log2(F.greatest(ends, F.lit(1)).cast("double"))), F.lit(STEPS)).cast("int")
+    tails = cut(cuts.select("cls", level.alias("level"), (F.col("cut.rest") / F.col("whole")).alias("rest"), steps.alias("steps")))
+    tail = lambda c: tails.select(F.col("cls").alias(c), F.col("level").alias(f"l_{c}"), F.col("rest").alias(f"r_{c}"), F.col("steps").alias(f"s_{c}"))
+    hinted = F.broadcast if tails.count() <= BROADCAST_ROWS // 5 else (lambda df: df)
+    bounded = partial.join(hinted(tail("t")), "t").join(hinted(tail("e")), "e")
+    beyond = F.greatest(
+        F.sqrt(F.greatest(F.col("r_t"), F.lit(0.0)) * F.get("s_e", F.col("l_t"))), F.sqrt(F.greatest(F.col("r_e"), F.lit(0.0)) * F.get("s_t", F.col("l_e")))
+    )
+    candidates = bounded.where(F.col("p") + beyond >= threshold - 1e-5).select("t", "e")
     # exact products: the lists of both sides meet, each as long as a document
     zipped = F.arrays_zip("terms", "dfs")
     t_side = vectors.select(F.col("cls").alias("t"), zipped.alias("v_t"), F.sqrt("whole").alias("norm_t"))
