@@ -25,7 +25,7 @@ from lexmill.runtime import cut, spread
 WORDS = 5
 THRESHOLD = 0.7
 BROADCAST_ROWS = 1_000_000
-STEPS = 24  # powers of two of the number of classes a term can have
+STEPS = 12  # powers of two of a term's number of classes for which residuals are kept; the last holds for all above
 
 
 def terms_of(text: Column) -> Column:
@@ -122,7 +122,7 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     mass = F.aggregate("dfs", F.lit(0.0), lambda acc, df: acc + weight(df))
     whole = mass + F.lit(alone) * (F.floor(F.col("meta") / 4) - F.size("terms"))
     heavy = lists.withColumns({"mass": mass, "whole": whole}).where(F.col("mass") >= F.col("whole") * least)
-    vectors = heavy.withColumn("v", order).select("cls", "meta", "mass", "whole", F.col("v.terms").alias("terms"), F.col("v.dfs").alias("dfs")).persist()
+    sorted_lists = heavy.withColumn("v", order).select("cls", "meta", "mass", "whole", F.col("v.terms").alias("terms"), F.col("v.dfs").alias("dfs"))
     # a term is listed while the residual from it on still reaches the threshold
     start = F.struct(F.col("mass").alias("rest"), F.lit(0).alias("n"))
     prefix = F.aggregate(
@@ -130,29 +130,34 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
         start,
         lambda acc, df: F.when(acc["rest"] >= F.col("whole") * least, F.struct((acc["rest"] - weight(df)).alias("rest"), (acc["n"] + 1).alias("n"))).otherwise(acc),
     )
-    cuts = vectors.select("cls", "meta", "whole", "terms", "dfs", prefix.alias("cut"))
-    listed = cuts.select("cls", "meta", F.sqrt("whole").alias("norm"), F.explode(F.slice(F.arrays_zip("terms", "dfs"), F.lit(1), F.col("cut.n"))).alias("x"))
-    listed = listed.select("cls", "meta", F.col("x.terms").alias("term"), (F.sqrt(weight(F.col("x.dfs"))) / F.col("norm")).alias("u"))
-    left = listed.where(bit(2)).select("term", F.col("cls").alias("t"), F.col("u").alias("ut"))
-    right = listed.where(bit(1)).select("term", F.col("cls").alias("e"), F.col("u").alias("ue"))
-    partial = left.join(right, "term").where(F.col("t") != F.col("e")).groupBy("t", "e").agg(F.sum(F.col("ut") * F.col("ue")).alias("p"))
     # In the order of rarity the list that ends first has all terms up to its end in common with the
     # other. Beyond it the product is at most the root of both residuals there: of the one its own, of
     # the other what it has from that many classes on, kept for powers of two
-    steps = F.transform(
-        F.sequence(F.lit(0), F.lit(STEPS)),
-        lambda k: (F.aggregate(F.filter("dfs", lambda df: df >= F.pow(F.lit(2), k)), F.lit(0.0), lambda acc, df: acc + weight(df)) / F.col("whole")).cast("float"),
+    steps = F.array(
+        *[(F.aggregate(F.filter("dfs", lambda df, k=k: df >= 2**k), F.lit(0.0), lambda acc, df: acc + weight(df)) / F.col("whole")).cast("float") for k in range(STEPS + 1)]
     )
     ends = F.get(F.col("dfs"), F.least(F.col("cut.n"), F.size("dfs") - 1))
     level = F.least(F.floor(F.log2(F.greatest(ends, F.lit(1)).cast("double"))), F.lit(STEPS)).cast("int")
-    tails = cut(cuts.select("cls", level.alias("level"), (F.col("cut.rest") / F.col("whole")).alias("rest"), steps.alias("steps")))
-    tail = lambda c: tails.select(F.col("cls").alias(c), F.col("level").alias(f"l_{c}"), F.col("rest").alias(f"r_{c}"), F.col("steps").alias(f"s_{c}"))
-    hinted = F.broadcast if tails.count() <= BROADCAST_ROWS // 5 else (lambda df: df)
-    bounded = partial.join(hinted(tail("t")), "t").join(hinted(tail("e")), "e")
+    vectors = (
+        sorted_lists.withColumn("cut", prefix)
+        .select("cls", "meta", "whole", "terms", "dfs", F.col("cut.n").alias("n"), (F.col("cut.rest") / F.col("whole")).alias("rest"), level.alias("level"), steps.alias("steps"))
+        .persist()
+    )
+    listed = vectors.select("cls", "meta", F.sqrt("whole").alias("norm"), F.explode(F.slice(F.arrays_zip("terms", "dfs"), F.lit(1), F.col("n"))).alias("x"))
+    listed = listed.select("cls", "meta", F.col("x.terms").alias("term"), (F.sqrt(weight(F.col("x.dfs"))) / F.col("norm")).alias("u"))
+    left = listed.where(bit(2)).select("term", F.col("cls").alias("t"), F.col("u").alias("ut"))
+    right = listed.where(bit(1)).select("term", F.col("cls").alias("e"), F.col("u").alias("ue"))
+    partial = left.join(right, "term").where(F.col("t") != F.col("e")).groupBy("t", "e").agg(F.sum(F.col("ut") * F.col("ue")).alias("p"))
+    hinted = F.broadcast if vectors.count() <= BROADCAST_ROWS // 5 else (lambda df: df)
+    tail = lambda c: hinted(vectors.select(F.col("cls").alias(c), F.col("level").alias(f"l_{c}"), F.col("rest").alias(f"r_{c}"), F.col("steps").alias(f"s_{c}")))
+    bounded = partial.join(tail("t"), "t").join(tail("e"), "e")
     beyond = F.greatest(
         F.sqrt(F.greatest(F.col("r_t"), F.lit(0.0)) * F.get("s_e", F.col("l_t"))), F.sqrt(F.greatest(F.col("r_e"), F.lit(0.0)) * F.get("s_t", F.col("l_e")))
     )
-    candidates = bounded.where(F.col("p") + beyond >= threshold - 1e-5).select("t", "e")
+    candidates = cut(bounded.where(F.col("p") + beyond >= threshold - 1e-5).select("t", "e"))
+    # only the vectors of candidates travel
+    wanted = _small(candidates.select(F.explode(F.array("t", "e")).alias("cls")).distinct())
+    vectors = vectors.select("cls", "whole", "terms", "dfs").join(wanted, "cls", "left_semi")
     # exact products: the lists of both sides meet, each as long as a document
     zipped = F.arrays_zip("terms", "dfs")
     t_side = vectors.select(F.col("cls").alias("t"), zipped.alias("v_t"), F.sqrt("whole").alias("norm_t"))
