@@ -133,9 +133,8 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     # In the order of rarity the list that ends first has all terms up to its end in common with the
     # other. Beyond it the product is at most the root of both residuals there: of the one its own, of
     # the other what it has from that many classes on, kept for powers of two
-    steps = F.array(
-        *[(F.aggregate(F.filter("dfs", lambda df, k=k: df >= 2**k), F.lit(0.0), lambda acc, df: acc + weight(df)) / F.col("whole")).cast("float") for k in range(STEPS + 1)]
-    )
+    from_on = lambda least_df: F.filter("dfs", lambda df: df >= F.lit(least_df))
+    steps = F.array(*[(F.aggregate(from_on(2**k), F.lit(0.0), lambda acc, df: acc + weight(df)) / F.col("whole")).cast("float") for k in range(STEPS + 1)])
     ends = F.get(F.col("dfs"), F.least(F.col("cut.n"), F.size("dfs") - 1))
     level = F.least(F.floor(F.log2(F.greatest(ends, F.lit(1)).cast("double"))), F.lit(STEPS)).cast("int")
     vectors = (
