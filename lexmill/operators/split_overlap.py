@@ -158,11 +158,11 @@ def _near_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     wanted = _small(candidates.select(F.explode(F.array("t", "e")).alias("cls")).distinct())
     vectors = vectors.select("cls", "whole", "terms", "dfs").join(wanted, "cls", "left_semi")
     # exact products: the lists of both sides meet, each as long as a document
-    zipped = F.arrays_zip("terms", "dfs")
-    t_side = vectors.select(F.col("cls").alias("t"), zipped.alias("v_t"), F.sqrt("whole").alias("norm_t"))
-    e_side = vectors.select(F.col("cls").alias("e"), zipped.alias("v_e"), F.sqrt("whole").alias("norm_e"))
+    t_side = vectors.select(F.col("cls").alias("t"), F.col("terms").alias("terms_t"), "dfs", F.sqrt("whole").alias("norm_t"))
+    e_side = vectors.select(F.col("cls").alias("e"), F.col("terms").alias("terms_e"), F.sqrt("whole").alias("norm_e"))
     both = candidates.join(t_side, "t").join(e_side, "e")
-    dot = F.aggregate(F.array_intersect("v_t", "v_e"), F.lit(0.0), lambda acc, x: acc + weight(x["dfs"]))
+    at = lambda term: F.get("dfs", F.array_position("terms_t", term).cast("int") - 1)
+    dot = F.aggregate(F.array_intersect("terms_t", "terms_e"), F.lit(0.0), lambda acc, term: acc + weight(at(term)))
     return both.select("t", "e", (dot / (F.col("norm_t") * F.col("norm_e"))).alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
