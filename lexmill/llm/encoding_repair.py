@@ -78,9 +78,9 @@ _COMMON = regex.compile("[ -ſˆ˜Ѐ-џҐґ –-―‘-„†‡•…‰‹›
 _RARE = regex.compile("[ƀ-ɏͰ-Ͽ֐-ۿऀ-ॿḀ-ỿ -⁯℀-⋿─-◿☀-➿ﬁﬂ﻿�　-ヿ一-鿿가-힯\U0001f300-\U0001faff]")
 
 
-def _score(decoded: str, run: str, name: str) -> int:
+def _score(decoded: str, run: str, name: str, beside: str) -> int:
     """How much a decoded run looks like text: its length if all its characters are common, less for
-    rare ones, 0 where it can't be text."""
+    rare ones, 0 where it can't be text. ``beside`` are the characters next to the run."""
     plain = regex.sub(r"[\x80-\x9f]", "", decoded)
     common = len(_COMMON.findall(plain))
     rare = len(_RARE.findall(plain))
@@ -89,7 +89,9 @@ def _score(decoded: str, run: str, name: str) -> int:
     if not common and len(decoded) < 2 and not regex.fullmatch("[\U0001f300-\U0001faff☀-➿ﬁﬂ﻿�]", decoded):
         return 0
     if name in ("cp1251", "koi8_r", "cp866", "mac_cyrillic") and regex.fullmatch(r"[а-яёА-ЯЁ]+", run):
-        return 0  # plain Russian letters only
+        # plain Russian letters only: garbled if inside a Latin word, or as a punctuation mark's bytes
+        if not regex.search(r"[A-Za-z]", beside) and not (name == "cp866" and regex.fullmatch(r"(?:т[АВ].)+", run)):
+            return 0
     return 2 * len(run) - 3 * rare
 
 
@@ -140,7 +142,7 @@ def _repair_once(text: str) -> tuple[str, bool]:
                 decoded = bytes(table[c] for c in run).decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            score = _score(decoded, run, name)
+            score = _score(decoded, run, name, text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1])
             if score <= 0:
                 continue
             out += [text[at : m.start()], decoded]
