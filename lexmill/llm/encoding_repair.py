@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.runtime import spread
+
 #: Legacy encodings whose characters may stand for bytes of UTF-8.
 LEGACY = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1250", "mac_cyrillic")
 
@@ -274,7 +276,7 @@ def wrongly_decoded(docs: DataFrame, doc_id: str = "capture_id", fields: tuple[s
     Null, empty and plain ASCII values hold none. Repeated rows are reported as often as they stand.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    long = None
+    long, docs = None, spread(docs.select(doc_id, *fields))
     for f in fields:
         part = docs.select(F.col(doc_id), F.lit(f).alias("field"), F.col(f).alias("value")).where(suspicious(F.col(f)))
         long = part if long is None else long.unionByName(part)

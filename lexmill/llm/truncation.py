@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.url import page_key
+from lexmill.runtime import cut, spread
 
 COMPLETE, LOOSE, OPEN = 0, 1, 2
 
@@ -188,7 +189,7 @@ def _sources(dataset_base: DataFrame, predictions: DataFrame) -> tuple[DataFrame
 
 def judged(rows: DataFrame, kind: Callable[[str | None], int]) -> DataFrame:
     """rows of (row_key, source, value) with their ending and whether they are ``cut``."""
-    classed = _classed(rows, kind)
+    classed = cut(_classed(spread(rows), kind))  # small: keys, lengths and classes, made once
     spikes = length_spikes(classed)
     marks = spikes.select("source", "unit", "length").distinct()
     loose = classed.where(F.col("ending") == LOOSE)
