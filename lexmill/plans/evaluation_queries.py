@@ -11,14 +11,14 @@ from lexmill.functions.text import RE2_SPACE
 from lexmill.operators import evaluate as E
 from lexmill.operators import sampling as S
 from lexmill.plans.report_queries import LAST, LONG
-from lexmill.runtime import read
+from lexmill.runtime import read, spread
 
 SPLIT, MODEL, SAMPLE, TRAIN, DEV = "test", "fenn_14b", 180, 120, 30
 
 
 def q_payload_normalize(spark: SparkSession, root: str) -> DataFrame:
     """Raw answers scanned, normalised and checked; no SQL, as the scanner is a decoder."""
-    p = read(spark, root, "predictions").select("prediction_id", "raw_response")
+    p = spread(read(spark, root, "predictions").select("prediction_id", "raw_response"))
     n = p.select("prediction_id", "raw_response", scan_object(F.col("raw_response")).alias("object")).withColumn("p", normalize(F.col("object")))
     return n.select(
         "prediction_id",
