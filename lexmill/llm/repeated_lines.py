@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW_BITS = 15  # entries of a container
-LINE_BITS = 24  # a document has fewer lines than this allows; checked
+LINE_BITS = 24  # of a line number: a text of 2 GB, the most a value can hold, rarely has more lines
 
 
 def _considered(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
