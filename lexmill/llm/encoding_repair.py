@@ -80,9 +80,12 @@ _COMMON = regex.compile("[ -ſˆ˜Ѐ-џҐґ –-―‘-„†‡•…‰‹›
 _RARE = regex.compile("[ƀ-ɏͰ-Ͽ֐-ۿऀ-ॿḀ-ỿ -⁯℀-⋿─-◿☀-➿ﬁﬂ﻿�　-ヿ一-鿿가-힯\U0001f300-\U0001faff]")
 
 
-def _score(decoded: str, run: str, name: str, beside: str) -> int:
+_PLAIN_RUSSIAN = regex.compile(r"[а-яёА-ЯЁ\xa0«»„“”–—…№°§©·]+")
+
+
+def _score(decoded: str, run: str, name: str, inside: bool) -> int:
     """How much a decoded run looks like text: its length if all its characters are common, less for
-    rare ones, 0 where it can't be text. ``beside`` are the characters next to the run."""
+    rare ones, 0 where it can't be text. ``inside`` says that the run is part of a Latin word."""
     plain = regex.sub(r"[\x80-\x9f]", "", decoded)
     common = len(_COMMON.findall(plain))
     rare = len(_RARE.findall(plain))
@@ -90,9 +93,9 @@ def _score(decoded: str, run: str, name: str, beside: str) -> int:
         return 0
     if not common and len(decoded) < 2 and not regex.fullmatch("[\U0001f300-\U0001faff☀-➿ﬁﬂ﻿�]", decoded):
         return 0
-    if name in ("cp1251", "koi8_r", "cp866", "mac_cyrillic") and regex.fullmatch(r"[а-яёА-ЯЁ]+", run):
-        # plain Russian letters only: garbled if inside a Latin word, or as a punctuation mark's bytes
-        if not regex.search(r"[A-Za-z]", beside) and not (name == "cp866" and regex.fullmatch(r"(?:т[АВ].)+", run)):
+    if name in ("cp1251", "koi8_r", "cp866", "mac_cyrillic") and _PLAIN_RUSSIAN.fullmatch(run):
+        # Russian letters and the signs beside them only: garbled if inside a Latin word, or as a punctuation mark's bytes
+        if not inside and not (name == "cp866" and regex.fullmatch(r"(?:т[АВ].)+", run)):
             return 0
     return 2 * len(run) - 3 * rare
 
@@ -144,7 +147,9 @@ def _repair_once(text: str) -> tuple[str, bool]:
                 decoded = bytes(table[c] for c in run).decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            score = _score(decoded, run, name, text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1])
+            joined = lambda letter, other: (letter.isalpha() or letter in "°§©") and other.isascii() and other.isalpha()
+            inside = joined(run[0], text[m.start() - 1 : m.start()]) or joined(run[-1], text[m.end() : m.end() + 1])
+            score = _score(decoded, run, name, inside)
             if score <= 0:
                 continue
             out += [text[at : m.start()], decoded]

@@ -37,7 +37,8 @@ def test_repairs_russian(shown, meant):
     TEXTS
     + [
         "", "plain", "Ângela Vintorim runs the desk", "The brand is written SÃO VALDO", "A coração logo and the word DECISÃO marked it", "Le mot « âge » et la ville d’Âprecourt", "Ñandú_2",
-        "ПОДЕЛИТЬСЯ СТАТЬЁЙ: ПОЧТА, ССЫЛКА", "ALLE ANGABEN OHNE GEWÄHR", "Confidentialité\xa0· Mentions", "½ µm Ørsund Þórvik Æthra 25 °C", "Javvioé’s desk",
+        "ПОДЕЛИТЬСЯ СТАТЬЁЙ: ПОЧТА, ССЫЛКА", "Поделиться\xa0статьёй: почта", "Все\xa0статьи", "Главная\xa0| Решения", "Редакция\xa0Drandara", "– «шаг к системе», говорят",
+        "ALLE ANGABEN OHNE GEWÄHR", "Confidentialité\xa0· Mentions", "½ µm Ørsund Þórvik Æthra 25 °C", "Javvioé’s desk",
     ],
 )
 def test_leaves_correct_text(text):
