@@ -1,3 +1,4 @@
+from lexmill.llm import main_body
 from lexmill.operators import split_overlap
 from tests.test_split_overlap_brute import brute
 
@@ -15,3 +16,31 @@ def test_overlaps_of_changed_words_among_shared_templates(spark):
     base = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
     golden = spark.createDataFrame(list(splits.items()), "doc_id string, split string")
     assert {tuple(r) for r in split_overlap.overlaps(golden, base).collect()} == {("X", "Y")}
+
+
+CONSENT = "Zinnellpress and 60898 partners store small files on your device to measure visits. You can change your choice at any time."
+
+
+def test_furniture_of_long_lines(spark):
+    """White space doesn't make a line prose, and consent and legal wordings count at any length."""
+    prose = "The harbour office counted twelve ships in June, wrote their names down and sent the list to both towns, which had asked for it in spring and again in May."
+    wide = CONSENT.replace(" ", "  ")
+    standing = prose + " All rights reserved."
+    assert len(wide) > 140 and len(prose) > 140
+    assert main_body.furniture_lines("\n".join([wide, prose, standing])) == [1, 3]
+    for form in ("témoins de connexion", "accepts no liability", "sin garantía alguna", "we use cookies, please accept"):
+        assert main_body.furniture_lines(f"{prose} {form}.") == [1]
+
+
+def test_tree_counts_long_lines_and_listed_forms(spark):
+    """Furniture of 200 and more characters that many pages show, and a spelling of a listed line that the list doesn't know."""
+    notice = " ".join(["Unser Kleingedrucktes gilt für alle Seiten dieses Angebots und wird jeden Herbst neu gefasst"] * 3)
+    assert len(notice) > 200
+    rows = []
+    for i in range(40):
+        own = f"Report number {i} says {chr(97 + i % 26) * 9} and {chr(97 + i // 3) * 7} were counted again that year."
+        listed = "M.e.n.u." if i == 7 else "Menu"
+        rows.append((i, f"https://site.example/p{i}", f"{listed}\n{own}\n{notice}"))
+    df = spark.createDataFrame(rows, "capture_id bigint, url_canonical string, text string")
+    got = [tuple(r) for r in main_body.outside_body(df).collect()]
+    assert sorted(got) == [(i, n) for i in range(40) for n in (1, 3)]
