@@ -34,6 +34,12 @@ def q_prompt(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "dataset_base").select("doc_id", F.sha1(F.encode(p, "UTF-8")).alias("prompt_sha1"), F.length(p).alias("n"))
 
 
+def q_prompt_full(spark: SparkSession, root: str) -> DataFrame:
+    """The prompts as they are sent, with the operator's own text length; q_prompt takes 500 characters."""
+    p = I.prompt("v1")
+    return read(spark, root, "dataset_base").select("doc_id", F.sha1(F.encode(p, "UTF-8")).alias("prompt_sha1"), F.length(p).alias("n"))
+
+
 def q_remaining(spark: SparkSession, root: str) -> DataFrame:
     """Documents and models still without a prediction, counted per model."""
     rest = I.remaining(read(spark, root, "dataset_base").select("doc_id"), ["fenn_14b", "fenn_32b"], read(spark, root, "predictions"))
@@ -51,7 +57,7 @@ def q_event_windows(spark: SparkSession, root: str) -> DataFrame:
     return e.groupBy(F.date_format(F.col("ts"), "yyyy-MM-dd HH:00:00").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg_value"))
 
 
-QUERIES = {f.__name__: f for f in (q_rules_run, q_provider_map, q_prompt, q_remaining, q_text_store, q_event_windows)}
+QUERIES = {f.__name__: f for f in (q_rules_run, q_provider_map, q_prompt, q_prompt_full, q_remaining, q_text_store, q_event_windows)}
 
 _any = lambda words: "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + ")"
 _level = "1"
@@ -65,10 +71,12 @@ _prompt = (
     + " || ".join(f"'{c}: ' || coalesce({c}, '') || chr(10)" for c in ("company", "industry", "year", "title"))
     + " || chr(10) || substr(coalesce(text, ''), 1, 500)"
 )
+_prompt_full = _prompt.replace(", 1, 500)", ", 1, 16000)")
 ORACLE = {
     "q_rules_run": f"""SELECT doc_id, CASE WHEN {_any(I.AI_WORDS)} THEN {_level} ELSE 0 END AS maturity_level, CASE WHEN {_any(I.AI_WORDS)} THEN 'present' ELSE 'absent' END AS deployment_scope_status,
   CASE WHEN {_any(I.AI_WORDS)} THEN {_scope} ELSE '' END AS deployment_scope_value, CASE WHEN {_any(I.AI_WORDS)} THEN 0.78 ELSE 0.55 END::DOUBLE AS confidence, true AS structured_valid FROM dataset_base""",
     "q_prompt": f"SELECT doc_id, sha1({_prompt}) AS prompt_sha1, CAST(length({_prompt}) AS INTEGER) AS n FROM dataset_base",
+    "q_prompt_full": f"SELECT doc_id, sha1({_prompt_full}) AS prompt_sha1, CAST(length({_prompt_full}) AS INTEGER) AS n FROM dataset_base",
     "q_remaining": """SELECT m AS model_alias, count(*) AS n FROM dataset_base d, (VALUES ('fenn_14b'), ('fenn_32b')) v(m)
 WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.doc_id = d.doc_id AND p.model_alias = m) GROUP BY 1""",
     "q_text_store": "SELECT capture_id, domain, word_count, text_len, sha1(text) AS text_sha1 FROM captures WHERE word_count >= 300 AND text_len >= 1000 AND text IS NOT NULL",

@@ -1,3 +1,6 @@
+import duckdb
+
+import __spark_entry__ as entry
 from lexmill.llm import main_body
 from lexmill.operators import split_overlap
 from tests.test_split_overlap_brute import brute
@@ -44,3 +47,24 @@ def test_tree_counts_long_lines_and_listed_forms(spark):
     df = spark.createDataFrame(rows, "capture_id bigint, url_canonical string, text string")
     got = [tuple(r) for r in main_body.outside_body(df).collect()]
     assert sorted(got) == [(i, n) for i in range(40) for n in (1, 3)]
+
+
+def _sql_rows(name, root):
+    con = duckdb.connect()
+    for t in ("dataset_base", "golden"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet'")
+    return sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_prompt_has_the_whole_text(spark, tmp_path):
+    texts = ["x" * 900 + "a", "x" * 900 + "b", "é" * 16000 + "tail", "", None]
+    rows = [(f"DOC{i}", "c", "i", "2024", "t", x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id string, company string, industry string, year string, title string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "dataset_base.parquet")
+    df.select("doc_id").coalesce(1).write.parquet(str(tmp_path / "golden.parquet.d"))
+    next((tmp_path / "golden.parquet.d").glob("*.parquet")).rename(tmp_path / "golden.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["q_prompt_full"](spark, str(tmp_path)).collect())
+    bare = got[3][2]
+    assert [n - bare for _, _, n in got] == [901, 901, 16000, 0, 0] and got[0][1] != got[1][1]
+    assert got == _sql_rows("q_prompt_full", tmp_path)
