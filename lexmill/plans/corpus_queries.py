@@ -110,16 +110,21 @@ def q_clean_metadata(spark: SparkSession, root: str) -> DataFrame:
     return corpus.clean_metadata(read(spark, root, "dataset_base")).select("doc_id", "company", "industry", "year", "title")
 
 
-def q_list_order(spark: SparkSession, root: str) -> DataFrame:
-    """The documents of a list in the list's order: here of the golden test split by id."""
+def q_list_order_all(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of a list in the list's order, all of them: here of the golden test split by id."""
     golden = read(spark, root, "golden").where(F.lower(F.trim("split")) == "test").select("doc_id").distinct()
     listed = golden.join(read(spark, root, "dataset_base").select("doc_id", "title"), "doc_id")
-    return listed.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("position")).orderBy("position").limit(50)
+    return listed.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("position")).orderBy("position")
+
+
+def q_list_order(spark: SparkSession, root: str) -> DataFrame:
+    """The first documents of q_list_order_all, by the optional limit on their number."""
+    return q_list_order_all(spark, root).limit(50)
 
 
 QUERIES = {f.__name__: f for f in (
     q_good_by_source, q_dedup_text, q_canonical_urls, q_url_features, q_quality, q_best_per_url, q_page_rejects, q_bucket_route, q_block_flags,
-    q_error_class, q_doc_numbering, q_union_sources, q_http_best, q_base_duplicates, q_clean_metadata, q_list_order,
+    q_error_class, q_doc_numbering, q_union_sources, q_http_best, q_base_duplicates, q_clean_metadata, q_list_order, q_list_order_all,
 )}
 
 _JUNK = " + ".join(f"CASE WHEN contains(lower(substr(coalesce(text, ''), 1, 1200)), '{p}') THEN {corpus.JUNK_PENALTY} ELSE 0 END" for p in corpus.JUNK)
@@ -215,4 +220,7 @@ SELECT doc_id, {STRIP("coalesce(company, '')")} AS company, {STRIP("coalesce(ind
     "q_list_order": """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS position FROM (SELECT DISTINCT g.doc_id FROM golden g JOIN dataset_base USING (doc_id) WHERE lower(trim(g.split)) = 'test')
 ORDER BY position LIMIT 50""",
+    "q_list_order_all": """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS position FROM (SELECT DISTINCT g.doc_id FROM golden g JOIN dataset_base USING (doc_id) WHERE lower(trim(g.split)) = 'test')
+ORDER BY position""",
 }

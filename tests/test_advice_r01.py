@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexmill.llm import main_body
@@ -68,3 +69,14 @@ def test_prompt_has_the_whole_text(spark, tmp_path):
     bare = got[3][2]
     assert [n - bare for _, _, n in got] == [901, 901, 16000, 0, 0] and got[0][1] != got[1][1]
     assert got == _sql_rows("q_prompt_full", tmp_path)
+
+
+def test_list_order_has_every_document(spark, tmp_path):
+    docs = spark.range(120).select(F.format_string("DOC%03d", "id").alias("doc_id"), F.lit("t").alias("title"))
+    for name, df in (("dataset_base", docs), ("golden", docs.select("doc_id", F.lit(" Test").alias("split")))):
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.d"))
+        next((tmp_path / f"{name}.d").glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    queries = entry.queries()
+    got = [tuple(r) for r in queries["q_list_order_all"](spark, str(tmp_path)).collect()]
+    assert got == [(f"DOC{i:03d}", i + 1) for i in range(120)] == _sql_rows("q_list_order_all", tmp_path)
+    assert [tuple(r) for r in queries["q_list_order"](spark, str(tmp_path)).collect()] == got[:50] == _sql_rows("q_list_order", tmp_path)
