@@ -255,11 +255,21 @@ def _latin_word(word: str) -> str | None:
     return None
 
 
+def _sequences() -> str:
+    """The sequences of the byte automaton in every encoding of LEGACY, as Java and Python write them."""
+    some = lambda chars: "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(chars)) + "]"
+    out = []
+    for name, table in TABLES.items():
+        for n in (LEAD2, LEAD3, LEAD4):
+            out.append(f"{some(c for c in LEADS[name] if _class(table[c]) == n)}{some(TRAILS[name])}{{{n}}}")
+    return "|".join(out)
+
+
 #: Characters that some wrong decoding produces and ordinary text of these languages hardly has, or
 #: pairs of characters that only a wrong decoding puts side by side. Everything here begins with a
 #: character beyond ASCII, which the look-ahead tests first: most places of most texts end there.
 SUSPICIOUS = (
-    r"(?=[^\x00-\x7f])(?:[\u0080-\u009f�─-╿√∆∂∑∫≠¬ƒ₧⌐一-鿿]"
+    rf"(?=[^\x00-\x7f])(?:{_sequences()}|[\u0080-\u009f�─-╿√∆∂∑∫≠¬ƒ₧⌐一-鿿]"
     r"|[Â-ß][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]|[à-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{2}|(?<=[a-z\d.,;:!?\s])Â\s|Ã "
     r"|‚[ÄÇËà]"
     r"|[ЀЂ-Џѐђ-џҐґ]|[РСВГ][ -¿–-›€™№]"

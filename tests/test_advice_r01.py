@@ -2,7 +2,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.llm import main_body
+from lexmill.llm import encoding_repair, main_body
 from lexmill.operators import split_overlap
 from tests.test_split_overlap_brute import brute
 
@@ -80,3 +80,19 @@ def test_list_order_has_every_document(spark, tmp_path):
     got = [tuple(r) for r in queries["q_list_order_all"](spark, str(tmp_path)).collect()]
     assert got == [(f"DOC{i:03d}", i + 1) for i in range(120)] == _sql_rows("q_list_order_all", tmp_path)
     assert [tuple(r) for r in queries["q_list_order"](spark, str(tmp_path)).collect()] == got[:50] == _sql_rows("q_list_order", tmp_path)
+
+
+def test_garbled_values_of_every_legacy_encoding_are_found(spark):
+    """What the automaton can repair passes the prefilter; only such characters are garbled in these values."""
+    rows = [(1, "CafĂ©s were open"), (2, "CafÔÇÖs were open"), (3, "open ÔÇô closed"), (4, "Cafés were open – the café’s 12 °C")]
+    for i, name in enumerate(encoding_repair.LEGACY):
+        for k, ch in enumerate("éü’–ñ€"):
+            seen = {b: c for c, b in encoding_repair.TABLES[name].items()}
+            value = "Caf" + "".join(seen[b] for b in ch.encode()) + "s were open"
+            if encoding_repair.repair(value)[1]:
+                rows.append((10 * i + k + 100, value))
+    assert len(rows) > 30
+    df = spark.createDataFrame([(i, v, None) for i, v in rows], "capture_id bigint, text string, title string")
+    got = {r["capture_id"]: r["restored"] for r in encoding_repair.wrongly_decoded(df).collect()}
+    assert set(got) == {i for i, _ in rows} - {4}
+    assert got[1] == "Cafés were open" and got[2] == "Caf’s were open" and got[3] == "open – closed"
