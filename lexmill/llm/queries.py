@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import encoding_repair, main_body, mixing, repeated_lines, residue, shared_spans, tokens, truncation
+from lexmill.llm import encoding_repair, main_body, mixing, repeated_lines, residue, shared_spans, split_overlap, survivor, tokens, truncation
 from lexmill.runtime import read, spread
 
 
@@ -37,6 +37,14 @@ def p3_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding_repair.restore(read(spark, root, "captures").select("capture_id", "title", "text"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return survivor.page_groups(read(spark, root, "captures"))
+
+
+def p4_records(spark: SparkSession, root: str) -> DataFrame:
+    return survivor.survivors(read(spark, root, "captures"), read(spark, root, "method_trust"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
 
@@ -54,6 +62,14 @@ def p6_clean(spark: SparkSession, root: str) -> DataFrame:
     return residue.exclude(captures, residue.residue(captures))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return split_overlap.overlaps(read(spark, root, "golden"), read(spark, root, "dataset_base"))
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    return split_overlap.overlap_report(read(spark, root, "golden"), read(spark, root, "dataset_base"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(spread(read(spark, root, "documents").select("doc_id", "text")))
 
@@ -82,10 +98,14 @@ QUERIES = {
     "p2_body": p2_body,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
