@@ -17,7 +17,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_entry_names():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and all(callable(q) for q in queries.values())
-    assert {"q_good_by_source", "p4_found", "p7_found"} <= set(queries)
+    assert {"q_good_by_source", "q_leaderboard"} <= set(queries)
 
 
 def test_core_does_not_import_the_text_subpackage():

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, evaluate, inference, sampling, split_overlap, survivor
+from lexmill.operators import corpus, evaluate, inference, sampling
 
 CAPTURE = (
     "capture_id bigint, url_original string, url_canonical string, url_final string, domain string, source string, extraction_method string, title string, text string,"
@@ -19,44 +19,6 @@ def captures(spark, rows):
     return spark.createDataFrame(rows, CAPTURE)
 
 
-def test_page_groups(spark):
-    df = captures(
-        spark,
-        [
-            capture(1, "https://a.example/x", None),
-            capture(2, "http://www.a.example/x/", "one two", ts=5.0),
-            capture(3, "https://a.example/x#y", "one  two", ts=5.0),
-            capture(4, "https://a.example/y", "one two three"),
-            capture(5, None, "one"),
-            capture(6, " ", "one"),
-            capture(7, "https://a.example/z", None, ts=None),
-            capture(8, "https://a.example/z", "", ts=None),
-        ],
-    )
-    assert sorted(map(tuple, survivor.page_groups(df).collect())) == [(1, 2), (7, 7)]
-    assert survivor.page_groups(df.where("false")).collect() == []
-
-
-def test_survivors(spark):
-    methods = spark.createDataFrame([("http", 5), ("playwright", 2)], "extraction_method string, trust int")
-    df = captures(
-        spark,
-        [
-            capture(1, "https://a.example/x", "a long text of words", source="a2", method="playwright", title=None),
-            capture(2, "https://a.example/x", "short text", title="The title", domain=None),
-            capture(3, "https://a.example/x", None, ts=9.0),
-            capture(4, "https://a.example/y", None),
-        ],
-    )
-    rows = {r["first_capture_id"]: r for r in survivor.survivors(df, methods).collect()}
-    assert set(rows) == {1, 4}
-    a = rows[1]
-    assert a["text"] == "short text" and a["word_count"] == 2 and a["text_len"] == 10 and a["source"] == "http" and a["captures"] == 3
-    assert a["domain"] == "a.example" and a["extraction_method"] == "http"
-    assert rows[4]["text"] is None and rows[4]["word_count"] == 0
-    assert survivor.survivors(df.where("false"), methods).collect() == []
-
-
 def test_corpus(spark):
     good = "word " * 400
     df = captures(spark, [capture(1, "https://a.example/x", good), capture(2, "https://a.example/x?utm_source=q", "cookie " * 400), capture(3, "https://a.example/y", "short"), capture(4, "https://a.example/z", "  ")])
@@ -144,36 +106,3 @@ def test_inference(spark):
     assert rows["D1"]["maturity_level"] == 2 and rows["D2"]["error_tags"][:2] == ["provider_error", "parse_error"] and rows["D2"]["error_message"] == "down"
     with pytest.raises(ValueError):
         inference.select_aliases(["a"], ["b"])
-
-
-WORDS = [f"word{i}" for i in range(4000)]
-
-
-def doc(i, start, n=200, swap=()):
-    words = WORDS[start : start + n]
-    for k in swap:
-        words[k] = f"other{i}x{k}"
-    return " ".join(words)
-
-
-def test_split_overlap(spark):
-    texts = {
-        "A": doc(0, 0), "B": doc(1, 0).upper().replace(" ", "  "), "C": doc(2, 0, swap=(20, 90, 160)), "D": doc(3, 600), "E": doc(4, 100), "F": "", "G": None,
-        "H": doc(7, 600, swap=range(0, 200, 6)), "I": "just a few words here", "J": "just a few words here",
-    }
-    base = spark.createDataFrame(list(texts.items()), "doc_id string, text string").withColumn("industry", F.lit("x"))
-    splits = {"A": "train", "B": " DEV", "C": "test", "D": "Train", "E": "dev", "F": "train", "G": "test", "H": "test", "I": "train", "J": "dev"}
-    golden = spark.createDataFrame([*splits.items(), ("A", "train"), ("Z", "dev"), ("D", None)], "doc_id string, split string")
-    pairs = {tuple(r) for r in split_overlap.overlaps(golden, base).collect()}
-    assert pairs == {("A", "B"), ("A", "C"), ("I", "J")}
-    report = {(r["split"], r["n_pairs"]) for r in split_overlap.overlap_report(golden, base).collect()}
-    assert report == {("dev", 2), ("test", 1)}
-    assert split_overlap.overlaps(golden.where("false"), base).collect() == []
-    assert split_overlap.overlaps(golden, base.where("false")).collect() == []
-
-
-def test_split_overlap_copies(spark):
-    rows = [(f"T{i:03d}", doc(0, 0)) for i in range(60)] + [(f"V{i:03d}", doc(0, 0)) for i in range(40)]
-    base = spark.createDataFrame(rows, "doc_id string, text string")
-    golden = base.select("doc_id", F.when(F.col("doc_id").startswith("T"), "train").otherwise("dev").alias("split"))
-    assert split_overlap.overlaps(golden, base).count() == 2400
