@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.llm import encoding_repair, main_body, mixing, repeated_lines, residue, shared_spans, split_overlap, survivor, tokens, truncation
 from lexmill.runtime import read, spread
@@ -49,6 +50,15 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncated(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
 
 
+def p5_causes(spark: SparkSession, root: str) -> DataFrame:
+    rows = truncation.cut_rows(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
+    return rows.groupBy("source_table", "by").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p5_limits(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.limits(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
+
+
 def p5_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.truncation_rates(read(spark, root, "dataset_base"), read(spark, root, "predictions"))
 
@@ -101,6 +111,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p5_found": p5_found,
+    "p5_causes": p5_causes,
+    "p5_limits": p5_limits,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_clean": p6_clean,

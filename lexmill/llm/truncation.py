@@ -1,11 +1,18 @@
 """Values cut off before they are finished, and how often each source cuts.
 
-Every value's ending is classed: complete, open (a sentence or structure is unfinished, or a mark of
-a cut ends it) or loose (a closing line, list item or signature that needs no full stop, so that the
-ending alone can't tell). Beside it stand the histograms of the lengths in characters and in bytes,
-per source and for the whole column. A length is a spike if it is far more frequent than the lengths
-around it, as a field limit makes it; a loose ending at a spike's length is a cut as well. Only the
-histograms' spikes and the small class codes are shuffled, never the texts.
+A value without terminal punctuation is unfinished: open (a sentence or structure stops inside, or a
+mark of a cut ends it) or loose (a closing line, list item or signature that needs no full stop, so
+that the ending alone can't tell). Two things cut values, and each leaves its own trace:
+
+* a limit of a field or of a model's output stops many values at one length. The histograms of the
+  unfinished values' lengths, in characters and in bytes, per source and for the whole column, are
+  tested for spikes; every unfinished value at a spike's length is cut, open or loose (``limit``).
+  Lengths a mark is added to (480 and "…") are spikes of their own;
+* a broken transfer stops a value anywhere and leaves no spike; what shows it is an open ending
+  (``transfer``).
+
+Only lengths, sources and small class codes are shuffled, never the texts, and of those only the
+unfinished values'.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from lexmill.functions.url import page_key
 from lexmill.runtime import cut, spread
 
 COMPLETE, LOOSE, OPEN = 0, 1, 2
+UNITS = ("chars", "bytes")
 
 _MARK = regex.compile(
     r"(?:…|\.\.\.|�|\[(?:\.\.\.|…)\]|[\[(<]\W{0,2}(?:cut|truncated|trunc|snip|continued|more|gekürzt|tronqué|cortado|обрезано)\b\W{0,3}[\])>])\s*$", regex.I
@@ -79,6 +87,7 @@ def prose_ending(text: str | None) -> int:
 _DOUBLE = regex.compile(r'"(?:[^"\\]|\\.)*+"', regex.S)
 _SINGLE = regex.compile(r"(?<=[{\[,:]\s*)'(?:[^\\]|\\.)*?'(?=\s*[,:}\]])", regex.S)
 _THINK = regex.compile(r"<think>.*?</think>", regex.S | regex.I)
+_REFUSED = regex.compile(r"^\W*(?:n/?a|no(?: data| answer| information| evidence)?|none|null|nothing|unknown|not (?:applicable|available|found)|keine (?:angabe|daten)|aucune? \w+|sin datos|нет данных)\b", regex.I)
 _LEAD = regex.compile(r"^\s*(?:here\s+is|here's|sure|certainly|below is)\b[^{}]*$", regex.I)
 
 
@@ -112,7 +121,7 @@ def answer_ending(raw: str | None) -> int:
             return OPEN
         if _LEAD.match(rest):
             return LOOSE if _TERMINAL.search(rest[-12:]) else OPEN
-        return COMPLETE if _TERMINAL.search(rest[-12:]) else LOOSE
+        return COMPLETE if _TERMINAL.search(rest[-12:]) or _REFUSED.match(rest) else LOOSE
     end = _structure_end(rest[at:])
     if end is None:
         return OPEN
@@ -163,19 +172,25 @@ def _classed(rows: DataFrame, kind: Callable[[str | None], int]) -> DataFrame:
     return sized.mapInArrow(run, "row_key string, source string, chars int, bytes int, ending int")
 
 
-def length_spikes(classed: DataFrame, reach: int = 20, least: int = 4, times: float = 4.0) -> DataFrame:
-    """(source, unit, length, n, around): lengths at least ``least`` values have, more than ``times``
-    the mean of the ``reach`` lengths on either side plus three standard deviations of a count. The
-    source '' stands for the whole column. Null values have no length; an empty table no spikes."""
-    both = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-    per = classed.where(F.col("chars") > 0).select("source", both.alias("u")).groupBy("source", "u.unit", "u.length").agg(F.count(F.lit(1)).alias("n"))
+def length_spikes(classed: DataFrame, reach: int = 20, least: int = 4, chance: float = 0.01) -> DataFrame:
+    """(source, unit, length, n, around, most): lengths at least ``least`` unfinished values have, and
+    more than the ``reach`` lengths on either side explain: by Chernoff's bound of a Poisson count with
+    their mean ``around``, a histogram without a limit has such a length with at most ``chance``, over
+    all its lengths together. ``most`` is the greatest length of the source's unfinished values. The source '' stands for
+    the whole column. Null values have no length; an empty table no spikes."""
+    both = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS]))
+    open_ended = classed.where((F.col("ending") != COMPLETE) & (F.col("chars") > 0))
+    per = open_ended.select("source", both.alias("u")).groupBy("source", "u.unit", "u.length").agg(F.count(F.lit(1)).alias("n"))
     whole = per.groupBy("unit", "length").agg(F.sum("n").alias("n")).select(F.lit("").alias("source"), "unit", "length", "n")
     lengths = per.where(F.col("source") != "").unionByName(whole)
     # a source's histogram has at most as many bins as there are lengths, so the window stays small
-    w = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-reach, reach)
+    by = Window.partitionBy("source", "unit")
+    w = by.orderBy("length").rangeBetween(-reach, reach)
     around = (F.sum("n").over(w) - F.col("n")) / F.lit(2.0 * reach)
-    seen = lengths.withColumn("around", around)
-    return seen.where((F.col("n") >= least) & (F.col("n") > F.lit(times) * F.col("around") + 3 * F.sqrt(F.col("around") + 0.05)))
+    seen = lengths.withColumns({"around": around, "most": F.max("length").over(by), "bins": F.count(F.lit(1)).over(by)})
+    mean = F.greatest(F.col("around"), F.lit(0.5 / reach))  # one value in both sides is the least that is known of them
+    tail = F.col("n") - mean + F.col("n") * F.log(mean / F.col("n"))
+    return seen.where((F.col("n") >= least) & (F.col("n") > mean) & (tail < F.log(F.lit(chance) / F.col("bins")))).drop("bins")
 
 
 def _sources(dataset_base: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,37 +203,54 @@ def _sources(dataset_base: DataFrame, predictions: DataFrame) -> tuple[DataFrame
 
 
 def judged(rows: DataFrame, kind: Callable[[str | None], int]) -> DataFrame:
-    """rows of (row_key, source, value) with their ending and whether they are ``cut``."""
-    classed = cut(_classed(spread(rows), kind))  # small: keys, lengths and classes, made once
-    spikes = length_spikes(classed)
-    marks = spikes.select("source", "unit", "length").distinct()
-    loose = classed.where(F.col("ending") == LOOSE)
-    keys = F.explode(
-        F.array(*[F.struct(s.alias("source"), F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes") for s in (F.lit(""), F.col("source"))])
-    )
-    at_spike = loose.select("row_key", keys.alias("k")).select("row_key", "k.source", "k.unit", "k.length").join(marks, ["source", "unit", "length"]).select("row_key").distinct()
-    rest = classed.where(F.col("ending") != LOOSE).withColumn("cut", F.col("ending") == OPEN)
-    flagged = loose.join(at_spike.withColumn("hit", F.lit(True)), "row_key", "left").withColumn("cut", F.coalesce("hit", F.lit(False))).drop("hit")
-    return rest.unionByName(flagged)
+    """rows of (row_key, source, value) as (row_key, source, by): what cut the value, ``limit`` or
+    ``transfer``, null for one that isn't cut."""
+    classed = cut(_classed(spread(rows), kind)).withColumn("__row", F.monotonically_increasing_id())  # small: keys, lengths and classes, made once
+    marks = length_spikes(classed).select("source", "unit", "length").distinct()
+    unfinished = classed.where(F.col("ending") != COMPLETE)
+    keys = F.explode(F.array(*[F.struct(s.alias("source"), F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS for s in (F.lit(""), F.col("source"))]))
+    stopped = unfinished.select("__row", keys.alias("k")).select("__row", "k.*").join(marks, ["source", "unit", "length"], "left_semi").select("__row").distinct()
+    by = F.when(F.col("hit"), F.lit("limit")).when(F.col("ending") == OPEN, F.lit("transfer"))
+    flagged = unfinished.join(stopped.withColumn("hit", F.lit(True)), "__row", "left").select("row_key", "source", by.alias("by"))
+    return classed.where(F.col("ending") == COMPLETE).select("row_key", "source", F.lit(None).cast("string").alias("by")).unionByName(flagged)
 
 
-def truncated(dataset_base: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(source_table, row_key): the rows whose text or raw_response is cut. Null and blank values
-    never are; repeated rows are reported as often as they stand; empty tables give no rows."""
+def _each(dataset_base: DataFrame, predictions: DataFrame) -> Iterator[tuple[str, DataFrame, Callable[[str | None], int]]]:
     texts, answers = _sources(dataset_base, predictions)
-    parts = [
-        judged(rows, kind).where("cut").select(F.lit(name).alias("source_table"), "row_key")
-        for name, rows, kind in (("dataset_base", texts, prose_ending), ("predictions", answers, answer_ending))
-    ]
+    yield "dataset_base", texts, prose_ending
+    yield "predictions", answers, answer_ending
+
+
+def truncated(dataset_base: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(source_table, row_key): the rows of cut_rows."""
+    return cut_rows(dataset_base, predictions).drop("by")
+
+
+def cut_rows(dataset_base: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(source_table, row_key, by): the rows whose text or raw_response is cut, and what cut it. Null
+    and blank values never are; repeated rows are reported as often as they stand; empty tables give
+    no rows."""
+    parts = [judged(rows, kind).where(F.col("by").isNotNull()).select(F.lit(name).alias("source_table"), "row_key", "by") for name, rows, kind in _each(dataset_base, predictions)]
+    return parts[0].unionByName(parts[1])
+
+
+def limits(dataset_base: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(source_table, source, unit, length, n, around, at_maximum): the lengths at which limits stop
+    values, and whether it is the greatest length among the source's unfinished values."""
+    parts = []
+    for name, rows, kind in _each(dataset_base, predictions):
+        spikes = length_spikes(cut(_classed(spread(rows), kind)))
+        parts.append(spikes.select(F.lit(name).alias("source_table"), "source", "unit", "length", "n", F.round("around", 4).alias("around"), (F.col("length") == F.col("most")).alias("at_maximum")))
     return parts[0].unionByName(parts[1])
 
 
 def truncation_rates(dataset_base: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(source_table, source, n, cut, rate) per host of url_canonical for texts and per model_alias
-    for answers; a missing source is ''. All rows count, nulls as not cut."""
-    texts, answers = _sources(dataset_base, predictions)
+    """(source_table, source, n, cut, rate, by_limit, by_transfer) per host of url_canonical for texts
+    and per model_alias for answers; a missing source is ''. All rows count, nulls as not cut."""
     parts = []
-    for name, rows, kind in (("dataset_base", texts, prose_ending), ("predictions", answers, answer_ending)):
-        counts = judged(rows, kind).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("cut"))
-        parts.append(counts.select(F.lit(name).alias("source_table"), "source", "n", "cut", F.round(F.col("cut") / F.col("n"), 6).alias("rate")))
+    for name, rows, kind in _each(dataset_base, predictions):
+        counts = judged(rows, kind).groupBy("source").agg(
+            F.count(F.lit(1)).alias("n"), F.count("by").alias("cut"), F.count_if(F.col("by") == "limit").alias("by_limit"), F.count_if(F.col("by") == "transfer").alias("by_transfer")
+        )
+        parts.append(counts.select(F.lit(name).alias("source_table"), "source", "n", "cut", F.round(F.col("cut") / F.col("n"), 6).alias("rate"), "by_limit", "by_transfer"))
     return parts[0].unionByName(parts[1])
