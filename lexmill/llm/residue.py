@@ -1,19 +1,20 @@
 """Template residue, filler, error pages and demands for scripts, found and told apart from prose.
 
 Three character n-gram models are fitted: filler, error notices (with demands to enable scripts) and
-natural prose. The first two learn from the notices listed below, prose from a bounded sample of the
-corpus' own lines (PROSE_SAMPLE documents, taken by a hash of their id, so that it doesn't depend on
-the partitioning). Each text is scored as one long vector of log-likelihood ratios; sentences are the
-windows. A window is residue if its mean ratio is high over its whole length: a sentence that only
-quotes or discusses a notice has prose around the quotation, which pulls the mean down. Unfilled
-slots are a matter of syntax, not of wording, and are found by pattern; a slot between quotation
-marks or backticks is quoted. What share of a text its residue covers decides whether the record is
-excluded or only cleaned.
+natural prose. The first two learn from the general wordings listed below, prose from the n-grams of
+every text of the table: counted per task, summed by a shuffle, a table of fixed size whatever the
+corpus. Each text is scored as one long vector of log-likelihood ratios; sentences are the windows. A
+window is residue if its mean ratio is high over its whole length, against prose and against a model
+of the labels of normal pages: a sentence that only quotes or
+discusses a notice has prose around the quotation, which pulls the mean down. Unfilled slots are a
+matter of syntax, not of wording, and are found by pattern; a slot between quotation marks or
+backticks is quoted. What share of a text its residue covers decides whether the record is excluded
+or only cleaned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,184 +26,381 @@ from lexmill.runtime import spread
 
 ORDER = 4  # characters of an n-gram
 BITS = 18  # of the hashed n-gram tables, 1 MB each
-PROSE_SAMPLE = 2000  # documents whose lines the prose model is fitted on, about
 THRESHOLD = 0.45  # mean log ratio of a window from which it is residue
 UNSEEN = -0.7  # ratio, at most, of an n-gram that no notice has
 STRENGTH = 12.0  # sum of log ratios a window needs
 EXCLUDE_COVERAGE = 0.5
 
-# Wordings of filler and stand-ins, the filler model's training text.
+# General wordings of filler and stand-ins, the filler model's training text.
 FILLER = """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
-Lorem ipsum dolor sit amet, velorum tasque minderat.
-Ipsum quorra vel ostrem, dolor amet lantis.
-Lorem ipsum dolor sit amet, quorra vel ostrem mindat.
-Lorem ipsum dolor
 Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
-Sample text. Replace this paragraph with your own words.
-Replace this text with your own content.
-This is placeholder text.
-Placeholder content for layout review only.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium.
+Lorem ipsum
+Lorem ipsum dolor sit amet
+Dolor sit amet, lorem ipsum et cetera
+Placeholder
 Placeholder text
-Your headline goes here
+Placeholder content
+This is a placeholder.
+This is placeholder text, please replace it.
+Replace this text with your own.
+Replace this paragraph
+Add your text here
+Your text here
+Your text goes here
+Your title here
+Your headline here
 Your title goes here
+Your headline goes here
+Headline goes here
 Title goes here
-Text goes here
-Body copy goes here.
-Describe your product in two or three sentences.
+Body text goes here
+Copy goes here
+Description goes here
+Enter your text here
+Enter a title
 Insert text here
-Dummy article – do not publish
+Insert title here
+Insert headline
+Click here to edit this text
+Describe your product here in a few sentences.
+Write a short description of your company.
+Sample text
+Sample page
+Example text
+This is sample text. Write your own words here.
 Dummy text
-Test page, do not publish
-xxxx xxxx xxxx xxxx
-xxx xxx xxx
-asdf asdf asdf
-asdf
-qwerty qwerty
-test test 0
-test test test
-Blah blah blah blah blah.
-foo bar baz
+Dummy article, do not publish
+Do not publish
+Test page, not for publication
+This is a test
+Test test test
+Test article
+Hello world! This is your first post. Edit or delete it, then start writing.
+Untitled
 Untitled document
 Untitled page
-Untitled
-New page
+Untitled post
 No title
-TODO: add closing paragraph and chart
-TODO: write introduction
-FIXME: missing text
+New page
+New post
+New document
+Draft, to be completed
+Coming soon
+Content coming soon
+Content to follow
+Text to follow
+To be confirmed
+To be determined
 TBD
-To be confirmed, TBD
-Hier steht ein Beispieltext.
+TODO: write this section
+TODO: add image
+FIXME: text is missing
+xxx
+xxxx xxxx xxxx
+xxx xxx xxx
+asdf
+asdf asdf asdf
+asdfgh jkl
+qwerty
+qwerty qwerty
+blah blah blah
+foo bar baz
+The quick brown fox jumps over the lazy dog.
 Blindtext
-Platzhaltertext, bitte ersetzen.
-Titel hier einfügen
-Texte à remplacer.
+Dies ist ein Blindtext.
+Hier steht ein Blindtext.
+Platzhalter
+Platzhaltertext
+Mustertext
+Beispieltext
+Beispieltext, bitte ersetzen
+Hier kommt Ihr Text hin
+Hier Text einfügen
+Überschrift hier einfügen
+Titel einfügen
+Ohne Titel
+Unbenannt
+Neue Seite
+Text folgt
 Texte de remplissage
+Faux texte
+Texte d’exemple
+Texte à compléter
+Texte à remplacer
+Votre texte ici
 Votre titre ici
-Texto de ejemplo.
+Insérez votre texte ici
+Insérer le titre
+Sans titre
+Nouvelle page
+Contenu à venir
 Texto de relleno
-Título aquí
-Пример текста. Замените этот абзац своим текстом.
+Texto de ejemplo
+Texto de muestra
+Reemplace este texto
+Su texto aquí
+Tu título aquí
+Escriba aquí su texto
+Inserte el título
+Sin título
+Nueva página
+Contenido pendiente
 Текст-заполнитель
-Заголовок
+Рыбный текст
+Пример текста
+Образец текста
+Замените этот текст
+Здесь будет текст
+Введите текст
+Вставьте заголовок
+Заголовок страницы
+Без названия
+Без заголовка
+Новая страница
+Текст появится позже
 """.strip().split("\n")
 
-# Wordings of error, block and maintenance pages and of demands for scripts.
+# General wordings of error, block and maintenance pages and of demands for scripts.
 NOTICES = """
-Page not found
-0 – page not found
-0 Not Found
+Error
 Error 0
 Error code 0
-404 Not Found
-The page you requested could not be found.
-The address you entered does not lead anywhere on this site.
+Error code: 0
+HTTP error 0
+0 Bad Request
+0 Unauthorized
+0 Forbidden
+0 Not Found
+0 Method Not Allowed
+0 Request Timeout
+0 Gone
+0 Too Many Requests
+0 Internal Server Error
+0 Bad Gateway
+0 Service Unavailable
+0 Gateway Timeout
+0 – page not found
+Not found
+Page not found
+Page not available
+File not found
+The page was not found.
+The page could not be found.
+Sorry, the page you requested could not be found.
 The page you are looking for does not exist.
-This content is no longer available. It may have been moved or deleted by its author.
-Nothing here yet. Check the spelling of the link or go back to the start page.
-Sorry, this story is not available in your region.
+The page you are looking for might have been removed, had its name changed or is temporarily unavailable.
+The requested page does not exist on this server.
+The requested URL was not found on this server.
+The address you typed does not exist on this site.
+Nothing was found at this location. Check the address or try a search.
+The link you followed may be broken, or the page may have been removed.
+This page does not exist. Please check the spelling of the address or return to the home page.
+This article is no longer available.
+This content is no longer available.
+This content has been deleted or moved.
+This content is not available in your country.
+Sorry, this article is not available in your region.
+This page is not available in your location for legal reasons.
 Access denied
-You do not have permission to view this resource. Reference #0.
-You do not have permission to access this page on this server.
+Access to this page has been denied.
+Permission denied
 Forbidden
 Unauthorized
-0 Forbidden
+You do not have permission to access this page.
+You don’t have permission to view this resource on this server.
+You are not authorized to view this page.
+You have been blocked.
+Your address has been blocked. Reference number 0
+Reference #0
+Incident 0
+Request id 0
+You must be signed in to view this page.
+Your session has expired. Please sign in again.
+Your session has timed out. Log in to continue.
 Bad gateway
-The web server returned an invalid reply.
-0 Bad Gateway
-0 Service Unavailable
+Bad request
+Gateway timeout
+Service unavailable
 Service temporarily unavailable
-The site is down for planned maintenance.
-We are down for maintenance. Back soon.
+The service is temporarily unavailable. Please try again later.
+The server is temporarily unable to service your request. Please try again later.
+The server encountered an internal error and was unable to complete your request.
+The server returned an invalid or incomplete response.
+The web server reported a bad reply.
+The server took too long to respond.
+The connection has timed out.
+The connection to the origin server timed out.
+Connection refused
+Connection reset
 Internal server error
-Internal server error: unhandled exception in view 'article_detail' (line 0)
-Oops! Something went wrong on our side.
+Application error
+An error occurred while processing your request.
+An unexpected error occurred.
+An unhandled exception occurred.
+Unhandled exception in line 0
 Something went wrong.
-Please try again in a few minutes.
+Sorry, something went wrong on our side.
+Oops! Something went wrong.
 Please try again later.
-Too many requests from your network. Retry after 0 seconds.
-Your session has expired. Sign in again to continue.
+Please try again in a few minutes.
+Try again in 0 seconds.
+Retry after 0 seconds
+Too many requests
+Too many requests from your address. Please wait.
+Rate limit exceeded
+We have detected unusual traffic from your network.
+Error establishing a database connection
 nginx
-The connection timed out while waiting for the origin host.
-Gateway timeout
+Apache server
 Traceback (most recent call last):
-File "/srv/app/render.py", line 0, in page
-KeyError: 'article'
-TypeError: object is not callable
-ValueError: invalid literal
-Fatal error: uncaught exception
-Warning: undefined variable on line 0
-NullPointerException
+File "main.py", line 0, in <module>
+File "/usr/lib/python3/site.py", line 0, in run
+raise ValueError
+KeyError: 'name'
+IndexError: list index out of range
+AttributeError: object has no attribute
+TypeError: cannot read properties of undefined
+ReferenceError: variable is not defined
+Exception in thread "main" java.lang.NullPointerException
+Fatal error: Uncaught exception
+Warning: Undefined variable in index.php on line 0
+Notice: undefined index on line 0
+Syntax error, unexpected token
+Segmentation fault
 Stack trace
+Down for maintenance
+Under maintenance
+The site is under maintenance.
+The site is currently down for scheduled maintenance. We will be back soon.
+We are performing planned maintenance and will be back shortly.
+Be right back
 Just a moment...
-Attention required! Are you a person?
-Checking your browser before accessing the site.
-We need to check that you are a person
-Complete the puzzle below to go on to the site.
-Please verify you are a human.
-You need to enable JavaScript to run this app.
+One moment, please
+Please wait
+Checking your browser
+Checking if the site connection is secure
+Please wait while we check your browser.
+Please verify that you are a human.
+Are you a robot?
+Confirm that you are not a robot.
+We need to make sure that you are a person and not a robot.
+Please solve the puzzle to continue.
+Complete the security check to access the site.
+Attention required
+Please enable JavaScript to continue.
 Please enable JavaScript to view this page.
+Please enable JavaScript and cookies to continue.
+Please turn on JavaScript and reload the page.
+You need to enable JavaScript to run this app.
+JavaScript is disabled.
 JavaScript is disabled in your browser.
 JavaScript is required to view this site.
-This site requires scripts and cookies. Turn both on and reload.
-The site works best with scripts turned on. Your browser has switched them off.
-Please turn on cookies and scripts and reload the page.
+JavaScript must be enabled
+This site requires JavaScript.
+This page needs scripts to work. Switch them on in your browser and reload.
+This site needs scripts and cookies. Please turn on both.
+Your browser has scripts turned off.
+Your browser does not support JavaScript.
+Please enable cookies in your browser.
 Loading...
+Loading, please wait
 Redirecting...
+If you are not redirected, click here.
 Seite nicht gefunden
-Die gewünschte Adresse gibt es bei uns nicht.
+Die Seite wurde nicht gefunden.
 Die angeforderte Seite existiert nicht.
-Zugriff verweigert. Vorgang 0.
+Diese Adresse gibt es auf unserer Website nicht.
+Die gesuchte Seite ist nicht mehr verfügbar.
+Zugriff verweigert
+Zugriff nicht erlaubt. Vorgangsnummer 0
+Sie haben keine Berechtigung für diese Seite.
 Interner Serverfehler
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.
-Bitte JavaScript einschalten und die Seite neu laden.
+Es ist ein Fehler aufgetreten. Bitte versuchen Sie es später erneut.
 Dienst nicht verfügbar
-Wartungsarbeiten, bitte später erneut versuchen.
+Der Dienst ist vorübergehend nicht erreichbar.
+Wartungsarbeiten
+Wegen Wartungsarbeiten nicht erreichbar
+Bitte aktivieren Sie JavaScript.
+Bitte aktivieren Sie JavaScript in Ihrem Browser.
+Bitte schalten Sie JavaScript ein und laden Sie die Seite neu.
+Für diese Seite wird JavaScript benötigt.
 Page introuvable
-L’adresse demandée n’existe pas sur ce site.
-Cette page n’existe plus.
-Accès refusé. Dossier 0.
+Page non trouvée
+La page demandée n’existe pas.
+Cette adresse n’existe pas sur notre site.
+Cette page n’est plus disponible.
+Accès refusé
+Accès interdit. Référence 0
+Vous n’avez pas l’autorisation d’accéder à cette page.
 Erreur interne du serveur
-Veuillez activer JavaScript pour afficher cette page.
-Activez JavaScript pour continuer.
+Une erreur est survenue. Veuillez réessayer plus tard.
 Service indisponible
+Service temporairement indisponible
 Site en maintenance
+Veuillez activer JavaScript.
+Veuillez activer JavaScript pour continuer.
+Activez JavaScript dans votre navigateur et rechargez la page.
+JavaScript est nécessaire pour afficher ce site.
 Página no encontrada
-La dirección solicitada no existe en este sitio.
-La página que busca no existe.
-Acceso denegado. Referencia 0.
+No se encontró la página.
+La página solicitada no existe.
+Esta dirección no existe en nuestro sitio.
+Esta página ya no está disponible.
+Acceso denegado
+Acceso prohibido. Número de referencia 0
+No tiene permiso para ver esta página.
 Error interno del servidor
-Active JavaScript para ver esta página.
-Por favor, active JavaScript en su navegador.
+Se ha producido un error. Inténtelo de nuevo más tarde.
 Servicio no disponible
+Servicio temporalmente no disponible
 Sitio en mantenimiento
+Active JavaScript en su navegador.
+Por favor, active JavaScript para continuar.
+Es necesario activar JavaScript para ver este sitio.
 Страница не найдена
-Запрошенного адреса нет на этом сайте.
-Такой страницы не существует.
-Доступ запрещён. Обращение 0.
+Запрошенная страница не существует.
+Такого адреса на нашем сайте нет.
+Эта страница больше недоступна.
+Доступ запрещён
+Доступ закрыт. Номер обращения 0
+У вас нет прав на просмотр этой страницы.
 Внутренняя ошибка сервера
-Включите JavaScript, чтобы открыть эту страницу.
-Для работы сайта нужен JavaScript.
+Произошла ошибка. Повторите попытку позже.
 Сервис недоступен
+Сервис временно недоступен
+Ведутся технические работы
 Сайт на обслуживании
+Включите JavaScript в браузере.
+Пожалуйста, включите JavaScript, чтобы продолжить.
+Для просмотра сайта нужен JavaScript.
 """.strip().split("\n")
 
+# General labels of a page's furniture, which belongs to normal pages.
+FURNITURE = """
+menu|main menu|navigation|home|about|about us|contact|contact us|help|faq|support|search|blog|news|products|solutions|platform|pricing|company|careers|press|resources|status|accessibility|sitemap|topics|topics a–z
+sign in|sign up|sign out|log in|log out|login|register|create account|create an account|my account|subscribe|unsubscribe|newsletter|follow us|start free trial|free trial|try for free|book a demo|request a demo|contact sales|get started|learn more|download
+skip to content|skip to main content|jump to content|back to top|back to overview|overview|all stories|all articles|all posts|load more|show more|view all|see all|read more|continue reading
+privacy|privacy policy|terms|terms of use|terms of service|imprint|legal|legal notice|cookies|cookie policy|cookie settings|accept all|reject all|manage choices|share|print|copy link|mail|comments|leave a comment|reply|advertisement
+was this page helpful?|was this article helpful?|was this helpful?|yes no|rate this article|related articles|more articles|popular articles
+menü|hauptmenü|startseite|über uns|kontakt|hilfe|suche|suchen|anmelden|abmelden|einloggen|registrieren|konto|abonnieren|zum inhalt springen|nach oben|zurück zur übersicht|alle beiträge|alle artikel|mehr anzeigen|mehr lesen|weiterlesen|impressum|datenschutz|agb|cookie-einstellungen|alle annehmen|alle akzeptieren|nur notwendige|einstellungen|teilen|drucken|kommentare|anzeige|produkte|lösungen|preise|karriere|presse|themen|war diese seite hilfreich?
+menu principal|accueil|à propos|nous contacter|contactez-nous|aide|recherche|rechercher|se connecter|se déconnecter|s’inscrire|mon compte|s’abonner|aller au contenu|retour en haut|tous les articles|voir plus|lire la suite|mentions légales|confidentialité|gérer mes choix|tout accepter|tout refuser|partager|imprimer|commentaires|publicité|produits|tarifs|carrières|presse|thèmes|cette page vous a-t-elle été utile ?
+menú|menú principal|inicio|quiénes somos|acerca de|contacto|contáctanos|ayuda|buscar|iniciar sesión|cerrar sesión|registrarse|mi cuenta|suscribirse|saltar al contenido|volver arriba|todos los artículos|ver más|leer más|seguir leyendo|aviso legal|privacidad|configurar|aceptar todo|rechazar todo|compartir|imprimir|comentarios|publicidad|productos|precios|empleo|prensa|temas|¿te ha sido útil esta página?
+меню|главная|о нас|контакты|связаться с нами|помощь|поиск|войти|выйти|регистрация|зарегистрироваться|подписаться|перейти к содержанию|наверх|все статьи|показать ещё|читать далее|читать дальше|условия|конфиденциальность|настроить|принять все|отклонить|поделиться|распечатать|комментарии|реклама|решения|цены|вакансии|пресса|темы|была ли эта страница полезной?
+""".replace("\n", "|").strip("|").split("|")
+
 # Sentences that talk about notices; they belong to prose.
 DISCUSSED = """
-An access denied message had puzzled shift leads for 0 weeks.
-During maintenance the service unavailable banner was shown for 0 minutes.
-The wizard asks users to enable JavaScript, which 0 percent refuse.
-JavaScript is a required skill for the 0 new roles.
-Every page not found in the index costs about 0 visits.
-The share of 404 errors dropped to 0 a day once links were checked.
-The mock-ups still held lorem ipsum when the pilot of 0 users began.
-The placeholder image was replaced on 0 product pages.
-Its TODO list shrank to 0 items by spring.
-The team rewrote the page not found message after complaints.
+The team rewrote its page not found message after readers had complained about the tone.
 Users who saw the forbidden page called the help desk twice as often.
 The old site showed an error page whenever the session expired.
+Half of the visitors leave when a site tells them to enable scripts.
+The designers kept the dummy text in the brochure until the last proof.
+Every service unavailable answer of the gateway is written to a log and counted.
+The course teaches JavaScript to clerks who had never written a script.
 """.strip().split("\n")
 
 # Plain prose and headings, so that the model of a small corpus has some background.
@@ -286,22 +484,58 @@ def _array(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _table(texts: list[str], weight: float = 1.0) -> np.ndarray:
+def _table(texts: Iterable[str], weight: float = 1.0) -> np.ndarray:
     counts = np.zeros(1 << BITS, np.float64)
     for t in texts:
         np.add.at(counts, _hashes(_array(f" {_folded(t)} ")), weight)
     return counts
 
 
-def fit(prose: list[str]) -> np.ndarray:
-    """Log-likelihood ratios (filler or notice against prose) by hashed n-gram, as float32."""
-    prose_counts = _table(prose) + _table(PLAIN) + _table(DISCUSSED, max(4.0, len(prose) / 400))
-    total = prose_counts.sum()
+def _runs(values: list[str | None]) -> np.ndarray:
+    """Characters of the texts one after another, each begun and ended by a line end."""
+    whole = "\n" + "\n".join(v for v in values if v) + "\n"
+    return _array(_folded(whole) if whole.isascii() else "\n" + "\n".join(_folded(v) for v in values if v) + "\n")
+
+
+def count_ngrams(docs: DataFrame, *columns: str) -> np.ndarray:
+    """Counts by hashed n-gram over the whole texts of all documents. Each task sums its own and sends
+    at most 2**BITS numbers, as many as there are in the end; null and empty values have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for column in batch.columns:
+                for at in range(0, batch.num_rows, 256):
+                    values = [v for v in column.slice(at, 256).to_pylist() if v]
+                    grams = _hashes(_runs(values))
+                    own = np.ones(len(grams), bool)  # not over the line end between two texts
+                    ends = np.cumsum([len(v) + 1 for v in values[:-1]], dtype=np.int64)
+                    for k in range(1, ORDER - 1):
+                        own[ends - k] = False
+                    counts += np.bincount(grams[own], minlength=1 << BITS)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["gram", "n"])
+
+    table = docs.select(*columns).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BITS, np.float64)
+    out[table.column("gram").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def fit(prose: list[str] | np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios (filler or notice against prose) by hashed n-gram, as float32. ``prose`` is
+    texts or the counts of their n-grams."""
+    counts = prose if isinstance(prose, np.ndarray) else _table(prose)
+    counts = counts + _table(PLAIN) + _table(DISCUSSED, max(4.0, counts.sum() / 50_000))
+    total = counts.sum()
+
+    labels = _table(FURNITURE)
+    prose_p = (counts + 0.25) / (max(total, 100_000) + 0.25 * (1 << BITS))
+    prose_p = np.maximum(prose_p, labels / (labels.sum() + 0.02 * (1 << BITS)))
 
     def ratio(seeds: list[str]) -> np.ndarray:
         seen = _table(seeds) + _table([t.replace("0", "000") for t in seeds if "0" in t])
         seen_p = (seen + 0.02) / (seen.sum() + 0.02 * (1 << BITS))
-        prose_p = (prose_counts + 0.25) / (max(total, 100_000) + 0.25 * (1 << BITS))
         ratio = np.log(seen_p) - np.log(prose_p)
         ratio[seen == 0] = np.minimum(ratio[seen == 0], UNSEEN)  # what the notices never say is no evidence for them
         return ratio
@@ -316,8 +550,7 @@ def windows(texts: list[str | None], ratios: np.ndarray, threshold: float | None
     kept = [(i, t) for i, t in enumerate(texts) if t]
     if not kept:
         return []
-    whole = "\n" + "\n".join(t for _, t in kept) + "\n"
-    codes = _array(_folded(whole) if whole.isascii() else "\n" + "\n".join(_folded(t) for _, t in kept) + "\n")
+    codes = _runs([t for _, t in kept])
     starts = np.concatenate([[1], 1 + np.cumsum([len(t) + 1 for _, t in kept])])[:-1]
     h = _hashes(codes)
     space = (codes == 32) | (codes == 10) | (codes == 9) | (codes == 160)
@@ -366,35 +599,12 @@ def title_head(value: str) -> str:
     return _BRAND_TAIL.sub("", value)
 
 
-def sample_prose(docs: DataFrame, text: str, doc_id: str) -> list[str]:
-    """Lines of about PROSE_SAMPLE documents, those of least hash: all longer ones, and of the
-    shorter ones those that recur in the sample, as a site's furniture does. Only the sample leaves
-    the executors: its hash limit is set from the number of documents."""
-    limit = min(2**63 - 1, PROSE_SAMPLE * 2**64 // max(docs.count(), 1) - 2**63)
-    few = docs.where((F.xxhash64(F.col(doc_id).cast("string")) <= F.lit(limit)) & (F.length(text) > 0))
-    return prose_lines([row["t"] for row in few.select(F.substring(text, 1, 20_000).alias("t")).collect()])
-
-
-def prose_lines(texts: list[str]) -> list[str]:
-    seeds = {regex.sub(r"\d+", "0", s.lower().strip()) for s in FILLER + NOTICES}
-    seen: dict[str, int] = {}
-    lines: list[str] = []
-    for t in texts:
-        long = [x for x in t.split("\n") if len(x) >= 60 and not _SLOT.search(x)]
-        lines += long[:3]
-        for x in {" ".join(regex.sub(r"\d+", "0", x).split()) for x in t.split("\n") if 0 < len(x) < 160}:
-            seen[x] = seen.get(x, 0) + 1
-    for x, n in seen.items():
-        if n > 1 and x.lower() not in seeds and not _SLOT.search(x):
-            lines += [x] * min(n, 20)
-    return lines
-
-
 def residue(docs: DataFrame, doc_id: str = "capture_id", text: str = "text", title: str = "title", error: str = "error") -> DataFrame:
     """(doc_id, field, coverage): each field that is or holds residue, with the share of its
     characters inside residue windows. In ``error`` only unfilled slots count. Null, empty and blank
     values hold none; repeated rows are reported as often as they stand."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample_prose(docs, text, doc_id)))
+    docs = spread(docs.select(doc_id, text, title, error))
+    model = docs.sparkSession.sparkContext.broadcast(fit(count_ngrams(docs, text)))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +645,7 @@ def residue(docs: DataFrame, doc_id: str = "capture_id", text: str = "text", tit
             names=[doc_id, "field", "coverage"],
         )
 
-    return spread(docs.select(doc_id, text, title, error)).mapInArrow(run, f"`{doc_id}` {kind}, field string, coverage double")
+    return docs.mapInArrow(run, f"`{doc_id}` {kind}, field string, coverage double")
 
 
 def _covered(spans: list[tuple[int, int]]) -> int:
