@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return main_body.outside_body(read(spark, root, "captures"))
 
 
+def p2_causes(spark: SparkSession, root: str) -> DataFrame:
+    return main_body.cut_lines(read(spark, root, "captures")).groupBy("by").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p2_body(spark: SparkSession, root: str) -> DataFrame:
     return main_body.main_body(read(spark, root, "captures").select("capture_id", "url_canonical", "extraction_method", "text"))
 
@@ -105,6 +109,7 @@ QUERIES = {
     "p1_clean": p1_clean,
     "p1_report": p1_report,
     "p2_found": p2_found,
+    "p2_causes": p2_causes,
     "p2_body": p2_body,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
