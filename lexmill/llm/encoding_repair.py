@@ -13,6 +13,7 @@ suspicious values reach Python.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,23 +84,43 @@ _RARE = regex.compile("[ƀ-ɏͰ-Ͽ֐-ۿऀ-ॿḀ-ỿ -⁯℀-⋿─-◿☀-➿
 _PLAIN_RUSSIAN = regex.compile(r"[а-яёА-ЯЁ\xa0«»„“”–—…№°§©·]+")
 
 
+_CONTROLS = regex.compile(r"[\x80-\x9f]")
+_SIGN = regex.compile("[\U0001f300-\U0001faff☀-➿ﬁﬂ﻿�]")
+_PUNCTUATION_866 = regex.compile(r"(?:т[АВ].)+")
+
+
 def _score(decoded: str, run: str, name: str, inside: bool) -> int:
     """How much a decoded run looks like text: its length if all its characters are common, less for
     rare ones, 0 where it can't be text. ``inside`` says that the run is part of a Latin word."""
-    plain = regex.sub(r"[\x80-\x9f]", "", decoded)
+    plain = _CONTROLS.sub("", decoded)
     common = len(_COMMON.findall(plain))
     rare = len(_RARE.findall(plain))
     if common + rare < len(plain):
         return 0
-    if not common and len(decoded) < 2 and not regex.fullmatch("[\U0001f300-\U0001faff☀-➿ﬁﬂ﻿�]", decoded):
+    if not common and len(decoded) < 2 and not _SIGN.fullmatch(decoded):
         return 0
     if name in ("cp1251", "koi8_r", "cp866", "mac_cyrillic") and _PLAIN_RUSSIAN.fullmatch(run):
         # Russian letters and the signs beside them only: garbled if inside a Latin word, or as a punctuation mark's bytes
-        if not inside and not (name == "cp866" and regex.fullmatch(r"(?:т[АВ].)+", run)):
+        if not inside and not (name == "cp866" and _PUNCTUATION_866.fullmatch(run)):
             return 0
     return 2 * len(run) - 3 * rare
 
 
+@functools.lru_cache(maxsize=200_000)
+def _decoded(run: str, name: str, inside: bool) -> tuple[str, int]:
+    """What a run says in UTF-8 and its score, 0 if it isn't well-formed; runs recur within a corpus."""
+    table = TABLES[name]
+    try:
+        decoded = bytes(table[c] for c in run).decode("utf-8")
+    except UnicodeDecodeError:
+        return "", 0
+    return decoded, _score(decoded, run, name, inside)
+
+
+def _joined(letter: str, other: str) -> bool:
+    return other.isascii() and other.isalpha() and (letter.isalpha() or letter in "°§©")
+
+
 def _genuine(run: str, before: str, name: str) -> bool:
     """Runs that are correct text after all: an accented letter at the end of a word before a sign
     (as in "DÉJÀ »" or "CAFÉ…")."""
@@ -113,6 +134,15 @@ _ALWAYS = regex.compile(r"[�\x80-\x84\x86-\x9f]|(?<=[\p{Ll}\d.,;:!?])Â(?=\s|$
 _LOST_SPACE = regex.compile(r"(?<=[\p{Ll}\d.,;:!?\s])Â(?=\s)")
 _LOST_GRAVE = regex.compile(r"(?<![\p{L}])Ã (?=[\p{Ll}\p{Lu}])")
 _VOWELS = set("аеёиоуыэюя")
+_LATIN_WORD = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_ACCENT = regex.compile("[äöüßéèàâêîôûçñáíóúëïùÄÖÜÉ]")
+_RUSSIAN_WORD = regex.compile(r"[а-яёА-ЯЁ]+")
+_TURNED_CASE = regex.compile(r"[а-яё][А-ЯЁ]")
+_LATIN_ACCENTS = regex.compile(r"[¸¨À-ÿ]+")
+_ANY_CYRILLIC = regex.compile(r"[Ѐ-џ]")
+_RUSSIAN_SIGN = regex.compile(r"[А-яЁё«»—–№]")
+_LETTER_OR_SIGN = regex.compile(r"[\p{L}]|[^\x00-\x7f]")
+_ALL_RUSSIAN = regex.compile(r"[А-яЁё\s\p{P}\d]*")
 
 
 def _cyrillic_words(run: str) -> str | None:
@@ -124,7 +154,7 @@ def _cyrillic_words(run: str) -> str | None:
             continue
         for real in ("cp1251", "koi8_r"):
             word = raw.decode(real, "replace")
-            if regex.fullmatch(r"[а-яёА-ЯЁ]+", word) and _VOWELS & set(word.lower()) and not regex.search(r"[а-яё][А-ЯЁ]", word):
+            if _RUSSIAN_WORD.fullmatch(word) and _VOWELS & set(word.lower()) and not _TURNED_CASE.search(word):
                 return word
     return None
 
@@ -136,20 +166,14 @@ def _repair_once(text: str) -> tuple[str, bool]:
     for name, pattern in SPANS.items():
         if LEADS[name].isdisjoint(present) or TRAILS[name].isdisjoint(present):
             continue
-        table = TABLES[name]
         gain = 0
         out, at = [], 0
         for m in pattern.finditer(text):
             run = m.group()
             if _genuine(run, text[m.start() - 1 : m.start()], name):
                 continue
-            try:
-                decoded = bytes(table[c] for c in run).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            joined = lambda letter, other: (letter.isalpha() or letter in "°§©") and other.isascii() and other.isalpha()
-            inside = joined(run[0], text[m.start() - 1 : m.start()]) or joined(run[-1], text[m.end() : m.end() + 1])
-            score = _score(decoded, run, name, inside)
+            inside = _joined(run[0], text[m.start() - 1 : m.start()]) or _joined(run[-1], text[m.end() : m.end() + 1])
+            decoded, score = _decoded(run, name, inside)
             if score <= 0:
                 continue
             out += [text[at : m.start()], decoded]
@@ -180,10 +204,10 @@ def repair(text: str | None) -> tuple[str | None, bool]:
     words = [w for m in _LATIN_RUN.finditer(text) if (w := _cyrillic_words(m.group()))]
     if len(words) >= 2:
         found = True
-        text = regex.sub(r"[¸¨À-ÿ]+", lambda m: _cyrillic_words(m.group()) or m.group(), text)
+        text = _LATIN_ACCENTS.sub(lambda m: _cyrillic_words(m.group()) or m.group(), text)
     if _ALWAYS.search(text):
         found = True
-    if not found and regex.search(r"[Ѐ-џ]", text):
+    if not found and _ANY_CYRILLIC.search(text):
         swapped = _MIXED.findall(text)
         back = [w for w in swapped if _latin_word(w)]
         if back:
@@ -214,7 +238,7 @@ def _reread(line: str, shown: str, meant: str) -> str | None:
             return None
     other = raw.decode(meant, "replace")
     strange = len(_FOREIGN.findall(line))
-    russian = len(regex.findall(r"[А-яЁё«»—–№]", other))
+    russian = len(_RUSSIAN_SIGN.findall(other))
     return other if russian >= 0.85 * strange and not _FLIPPED.search(other) else None
 
 
@@ -226,7 +250,7 @@ def _russian(text: str) -> str:
     open_lines = [
         i
         for i, x in enumerate(lines)
-        if (k := strange(x)) >= 4 and k >= 0.3 * len(x) and len(_FOREIGN.findall(x)) >= 0.5 * len(regex.findall(r"[\p{L}]|[^\x00-\x7f]", x))
+        if (k := strange(x)) >= 4 and k >= 0.3 * len(x) and len(_FOREIGN.findall(x)) >= 0.5 * len(_LETTER_OR_SIGN.findall(x))
         if not (_FUNCTION_WORDS.search(x) and not _FLIPPED.search(x))
     ]
     if not open_lines:
@@ -237,7 +261,7 @@ def _russian(text: str) -> str:
         worth = sum(len(_FUNCTION_WORDS.findall(y)) for y in read.values()) + sum(bool(_FLIPPED.search(lines[i])) for i in read)
         if worth > best:
             best, winner = worth, read
-    plain = all(regex.fullmatch(r"[А-яЁё\s\p{P}\d]*", lines[i]) and not _FLIPPED.search(lines[i]) for i in winner)
+    plain = all(_ALL_RUSSIAN.fullmatch(lines[i]) and not _FLIPPED.search(lines[i]) for i in winner)
     if best < (3 if plain else 2) and (plain or not best or len(winner) < len([x for x in lines if x.strip()])):
         return text
     return "\n".join(winner.get(i, x) for i, x in enumerate(lines))
@@ -250,7 +274,7 @@ def _latin_word(word: str) -> str | None:
             real = word.encode(name).decode("cp1252")
         except UnicodeError:
             continue
-        if regex.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ]+", real) and regex.search("[äöüßéèàâêîôûçñáíóúëïùÄÖÜÉ]", real):
+        if _LATIN_WORD.fullmatch(real) and _ACCENT.search(real):
             return real
     return None
 

@@ -464,20 +464,26 @@ def _folded(text: str) -> str:
     return low if len(low) == len(text) else text
 
 
+# Digits count as 0, white space as a space; characters beyond the first plane keep their number.
+_FOLD = np.arange(1 << 16, dtype=np.uint32)
+_FOLD[48:58] = 48
+_FOLD[[9, 10, 160]] = 32
+
+
 def _hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashed n-grams starting at every place; digits count as 0, white space as a space."""
+    """Hashed n-grams starting at every place."""
     if len(codes) < ORDER:
         return np.zeros(0, np.int64)
-    c = codes.astype(np.uint64)
-    c[(codes >= 48) & (codes <= 57)] = 48
-    c[(codes == 9) | (codes == 10) | (codes == 160)] = 32
+    c = np.where(codes < 1 << 16, _FOLD[codes & 0xFFFF], codes).astype(np.uint32) if codes.max() >> 16 else _FOLD[codes]
     n = len(c) - ORDER + 1
-    h = np.zeros(n, np.uint64)
+    h = np.zeros(n, np.uint32)
     with np.errstate(over="ignore"):
         for k in range(ORDER):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : n + k]
-        h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+            h *= np.uint32(0x9E3779B1)
+            h += c[k : n + k]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+    return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 def _array(text: str) -> np.ndarray:
