@@ -46,6 +46,10 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return survivor.page_groups(read(spark, root, "captures"))
 
 
+def p4_choices(spark: SparkSession, root: str) -> DataFrame:
+    return survivor.choices(read(spark, root, "captures"), read(spark, root, "method_trust")).drop("__page")
+
+
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
     return survivor.survivors(read(spark, root, "captures"), read(spark, root, "method_trust"))
 
@@ -114,6 +118,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
+    "p4_choices": p4_choices,
     "p4_records": p4_records,
     "p5_found": p5_found,
     "p5_causes": p5_causes,
