@@ -6,8 +6,10 @@ least. The nodes whose subtree is as wide as a passage are the document's compac
 token, left end, right end): together they cover every passage-long run exactly once, and two equal
 passages have the same least token at the same place. So windows are joined on the token's hash, a
 pair is kept if the windows, laid over one another at the token, still are a passage wide, and what
-is left is compared character by character. The windows of a text are found with vector operations:
-runs of equal arg-minima over all passage-wide runs are the tree's wide nodes.
+is left is compared character by character. The tree's nodes of that width are found with vector
+operations, without its many narrower ones: a token is such a node if and only if it is the least of some
+passage-wide run, and the runs of which it is reach from one end of its subtree to the other (or as far
+from it as a passage is wide).
 
 One hash is enough here, as equal passages agree in every hash; the token is long, so that few
 unequal passages meet. Repeated texts are joined once, as a class, and spread to the documents last.
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ SPAN = 200  # characters of a passage
 GRAM = 100  # characters of a token
 CHUNK = 1 << 19  # characters handled at once; positions in a chunk take POSITION bits
 POSITION = 21
+BROADCAST_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -156,30 +160,42 @@ def _reach(a: str, i: int, b: str, j: int) -> tuple[int, int]:
     return behind, ahead
 
 
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` hinted for broadcast if its rows, of about ``row_bytes`` each, fit in BROADCAST_BYTES; a
+    larger one is joined by shuffling."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def busy_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The compact windows whose token stands in another text too, with the passages around them (cls,
+    h, pos, before, after, from, snip), and the documents of each text (cls, doc). Both are written to
+    the checkpoint folder, as the queries use them more than once.
+
+    Equal texts are a class, named by its least document, and have windows once. Texts aren't shuffled
+    as long as the windows in question may be broadcast to them.
+    """
+    long = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.length("text") >= SPAN)
+    keyed = long.select("doc", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("k")).distinct()
+    members = cut(keyed.select("doc", F.min("doc").over(Window.partitionBy("k")).alias("cls")))
+    copies = _small(members.where(F.col("doc") != F.col("cls")).select(F.col("doc").alias("cls")), 16)
+    found = spread(long).select(F.col("doc").alias("cls"), "text").mapInArrow(_windows, "cls bigint, h bigint, pos int, before smallint, after int")
+    windows = found.join(copies, "cls", "left_anti")
+    busy = cut(windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where(F.col("n") > 1).drop("n"))
+    placed = long.select(F.col("doc").alias("cls"), "text").join(_small(busy, 48), "cls").withColumn("from", F.greatest(F.col("pos") - F.lit(SPAN), F.lit(0)))
+    around = placed.select("cls", "h", "pos", "before", "after", "from", F.expr(f"substring(text, from + 1, pos - from + {SPAN})").alias("snip"))
+    # a document that is there twice gives its windows twice
+    return cut(around.dropDuplicates(["cls", "h", "pos"])), members
+
+
 def shared_anchors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified places of shared passages between distinct texts, and the documents of each text.
 
     The first result has (a, b, pos_a, pos_b, behind, ahead): the texts a < b agree on the characters
     [pos - behind, pos + ahead) at either place, at least a passage long in sum. The second has
-    (cls, doc). Both are written to the checkpoint folder, as the queries use them more than once.
+    (cls, doc).
     """
-    keyed = docs.where(F.length(text) >= SPAN).select(
-        F.col(doc_id).alias("doc"), F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("k"), F.col(text).alias("text")
-    )
-    w = Window.partitionBy("k")
-    members = cut(keyed.select("doc", F.min("doc").over(w).alias("cls")))
-    reps = spread(docs.select(F.col(doc_id).alias("cls"), F.col(text).alias("text")).where(F.length("text") >= SPAN))
-    copies = members.where(F.col("doc") != F.col("cls")).select(F.col("doc").alias("cls"))
-    reps = reps.join(copies, "cls", "left_anti")
-    windows = reps.mapInArrow(_windows, "cls bigint, h bigint, pos int, before smallint, after int")
-    busy = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where(F.col("n") > 1).drop("n")
-    # the passages' surroundings, only for windows whose token stands elsewhere too
-    around = (
-        busy.join(reps, "cls")
-        .withColumn("from", F.greatest(F.col("pos") - F.lit(SPAN), F.lit(0)))
-        .select("cls", "h", "pos", "before", "after", "from", F.expr(f"substring(text, from + 1, pos - from + {SPAN})").alias("snip"))
-    )
-    around = cut(around)
+    around, members = busy_windows(docs, doc_id, text)
     a = around.select("h", *[F.col(c).alias(f"{c}_a") for c in ("cls", "pos", "before", "after", "from", "snip")])
     b = around.select("h", *[F.col(c).alias(f"{c}_b") for c in ("cls", "pos", "before", "after", "from", "snip")])
     overlap = F.least("before_a", "before_b") + F.least("after_a", "after_b") + 1
@@ -218,21 +234,38 @@ def shared_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return across.unionByName(within).select(F.least("x", "y").alias(f"{doc_id}_a"), F.greatest("x", "y").alias(f"{doc_id}_b"))
 
 
+def _span_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, start, key): every passage inside a window, by the digest of its characters."""
+    for batch in batches:
+        cls, starts, keys = [], [], []
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for c, pos, before, after, from_, snip in zip(*columns):
+            first, last = max(pos - before, from_), min(pos + after + 1, from_ + len(snip)) - SPAN
+            for s in range(first, last + 1):
+                starts.append(s)
+                keys.append(xxhash.xxh3_128_digest(snip[s - from_ : s - from_ + SPAN].encode("utf-8", "surrogatepass")))
+            cls.append(np.full(max(0, last + 1 - first), c, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cls])), pa.array(starts, type=pa.int32()), pa.array(keys, type=pa.binary())], names=["cls", "start", "key"])
+
+
 def shared_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, n_shared, share): how many of each document's characters lie in passages that
-    stand in another document too. All documents; null and empty texts have 0 of 0 and share 0."""
-    anchors, members = shared_anchors(docs, doc_id, text)
-    side = lambda c, p: anchors.select(
-        F.col(c).alias("cls"), (F.col(p) - F.col("behind")).alias("s"), (F.col(p) + F.col("ahead")).alias("e")
-    )
-    spans = side("a", "pos_a").unionByName(side("b", "pos_b")).groupBy("cls", "s").agg(F.max("e").alias("e"))
+    stand in another document too. All documents; null and empty texts have 0 of 0 and share 0.
+
+    No pairs are made: the passages inside the windows in question are grouped by a 128-bit digest, and
+    those of two texts and more count for each of their places.
+    """
+    around, members = busy_windows(docs, doc_id, text)
+    spans = around.select("cls", "pos", "before", "after", "from", "snip").mapInArrow(_span_keys, "cls bigint, start int, key binary")
+    shared = spans.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where(F.col("x") != F.col("y")).select("key")
+    hit = spans.join(shared, "key").select("cls", F.col("start").alias("s"), (F.col("start") + SPAN).alias("e")).distinct()
     before = Window.partitionBy("cls").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.lit(0)))
-    covered = spans.withColumn("new", F.greatest(F.col("e") - fresh, F.lit(0))).groupBy("cls").agg(F.sum("new").alias("covered"))
+    covered = hit.withColumn("new", F.greatest(F.col("e") - fresh, F.lit(0))).groupBy("cls").agg(F.sum("new").alias("covered"))
     sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cls"))).join(covered, "cls", "left")
-    sized = sized.select(F.col("doc"), F.col("covered"), (F.col("n") > 1).alias("whole"))
+    sized = sized.select(F.col("doc").alias("__doc"), "covered", (F.col("n") > 1).alias("whole"))
     n = F.coalesce(F.length(text), F.lit(0)).cast("bigint")
-    shared = F.when(F.col("whole"), n).otherwise(F.coalesce(F.col("covered"), F.lit(0))).cast("bigint")
-    joined = docs.select(doc_id, n.alias("n_chars"), F.col(text)).join(sized, docs[doc_id] == sized["doc"], "left")
-    out = joined.select(doc_id, "n_chars", shared.alias("n_shared"))
+    joined = docs.select(doc_id, n.alias("n_chars")).join(sized, docs[doc_id] == sized["__doc"], "left")
+    shared_chars = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce(F.col("covered"), F.lit(0))).cast("bigint")
+    out = joined.select(doc_id, "n_chars", shared_chars.alias("n_shared"))
     return out.withColumn("share", F.when(F.col("n_chars") > 0, F.round(F.col("n_shared") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))
