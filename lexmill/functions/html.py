@@ -64,7 +64,7 @@ def text_of(node: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "\n")
     for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(ch))
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 
@@ -95,6 +95,16 @@ def dom_text(page: Column) -> Column:
     return F.coalesce(*found, F.lit(None).cast(kind))
 
 
+_AROUND = r"(?is)<(nav|header|footer|aside|form|menu)\b.*?</\1\s*>"
+
+
+def fallback_text(page: Column) -> Column:
+    """Text of a page without the elements that surround an article, for pages whose own elements give
+    none; null if shorter than 400 characters."""
+    t = text_of(F.regexp_replace(_element(page, "body"), _AROUND, ""))
+    return F.when(F.length(t) >= SHORTEST_DOM, t)
+
+
 def longest_html(body: str | None) -> str | None:
     """The longest string of markup of more than 2000 characters anywhere in a JSON body."""
     try:

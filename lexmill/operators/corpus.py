@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import count_words, is_blank, normalize_year, strip
 from lexmill.functions.url import base_domain, canonicalize_url, host_of
+from lexmill.runtime import cut
 
 # Phrases that mark a text as junk, each with its penalty, and the score of nothing.
 JUNK = ("cookie", "subscribe", "sign in", "log in", "enable javascript", "access denied", "captcha")
@@ -70,12 +71,21 @@ def scored(captures: DataFrame) -> DataFrame:
     )
 
 
+def best_keys(captures: DataFrame) -> DataFrame:
+    """The best capture of each canonical address without its text and flags: good before not, then
+    quality, source, words, length, and at last the earlier capture_id. Combined before the shuffle;
+    texts are only read."""
+    order = [F.col("good"), F.col("qscore"), -F.col("srank"), F.col("word_count"), F.col("text_len"), -F.col("capture_id")]
+    s = scored(captures)
+    kept = F.struct(*[c for c in s.columns if c not in ("url_canonical", "text", "flags")])
+    return s.groupBy("url_canonical").agg(F.max_by(kept, F.struct(*order)).alias("__best")).select("url_canonical", "__best.*")
+
+
 def best_per_url(captures: DataFrame) -> DataFrame:
-    """The best capture of each canonical address: good before not, then quality, source, words,
-    length, and at last the earlier capture_id."""
-    order = [F.desc("good"), F.desc("qscore"), F.asc("srank"), F.desc("word_count"), F.desc("text_len"), F.asc("capture_id")]
-    w = Window.partitionBy("url_canonical").orderBy(*order)
-    return scored(captures).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    """best_keys with text and flags, which are fetched by capture_id for the captures that won; of rows
+    that share a capture_id one is taken."""
+    heavy = captures.select("capture_id", *[c for c in ("text", "flags") if c in captures.columns])
+    return best_keys(captures).join(heavy, "capture_id").dropDuplicates(["capture_id"])
 
 
 def rejects(captures: DataFrame) -> DataFrame:
@@ -88,24 +98,22 @@ def rejects(captures: DataFrame) -> DataFrame:
     return state.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("__state")
 
 
-def dataset_base(best: DataFrame) -> DataFrame:
-    """Good rows numbered DOC000001 and on by address and title (nulls last): the document base.
-
-    The number needs a total order. Rows are sorted by range over the cluster; only the sizes of the
-    parts, not the rows, meet to give each part its first number.
-    """
-    rows = best.where("good").select("url_canonical", "title", "text", "word_count", "text_len", *[c for c in ("company", "industry", "year") if c in best.columns])
-    order = ["url_canonical", F.asc_nulls_last("title"), "text_len"]
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``, their number from 1 in a total order. Rows are sorted by range over the
+    cluster; only the sizes of the parts, not the rows, meet to give each part its first number."""
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = parted.withColumns({"__part": part, "__at": at})
-    from lexmill.runtime import cut
-
-    placed = cut(placed)
+    placed = cut(parted.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     first = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.col("__first") + F.col("__at") + 1
-    return placed.join(F.broadcast(first.select("__part", "__first")), "__part").withColumn("doc_id", F.format_string("DOC%06d", number)).drop("__id", "__part", "__at", "__first")
+    joined = placed.join(F.broadcast(first.select("__part", "__first")), "__part")
+    return joined.withColumn(name, F.col("__first") + F.col("__at") + 1).drop("__id", "__part", "__at", "__first")
+
+
+def dataset_base(best: DataFrame) -> DataFrame:
+    """Good rows numbered DOC000001 and on by address and title (nulls last): the document base."""
+    rows = best.where("good").select("url_canonical", "title", "word_count", "text_len", *[c for c in ("text", "company", "industry", "year") if c in best.columns])
+    placed = numbered(rows, ["url_canonical", F.asc_nulls_last("title"), "text_len"], "__number")
+    return placed.withColumn("doc_id", F.format_string("DOC%06d", "__number")).drop("__number")
 
 
 def best_http(rows: DataFrame) -> DataFrame:
@@ -143,3 +151,42 @@ def clean_metadata(df: DataFrame) -> DataFrame:
     """company, industry and title trimmed with nulls as '', year without '.0'."""
     t = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     return df.withColumns({"company": t("company"), "industry": t("industry"), "title": t("title"), "year": normalize_year(F.col("year"))})
+
+
+def http_good(status: Column, word_count: Column, text_len: Column) -> Column:
+    """Whether a fetched page was answered with 200 and its text is long enough."""
+    return F.coalesce(status == 200, F.lit(False)) & is_good(word_count, text_len)
+
+
+def first_of(df: DataFrame, *names: str) -> Column:
+    """The first of the named columns that ``df`` has; where it is null, the next. None of them is null."""
+    there = [F.col(f"`{n}`").cast("string") for n in names if n in df.columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("string")
+
+
+def flags_json(df: DataFrame, column: str = "flags") -> Column:
+    """Flags as JSON text: maps and structs are written, text that isn't blank is passed on, the rest is {}."""
+    kind = dict(df.dtypes).get(column)
+    if kind is None:
+        return F.lit("{}")
+    if kind == "string":
+        return F.when(is_blank(F.col(column)), F.lit("{}")).otherwise(F.col(column))
+    return F.coalesce(F.to_json(column), F.lit("{}"))
+
+
+def with_paths(best: DataFrame, exported: DataFrame) -> DataFrame:
+    """``best`` with the path each page was exported to, '' for none, and whether the page is unresolved:
+    not good, or without a path. A page that was exported twice has its least path."""
+    paths = exported.groupBy("url_canonical").agg(F.min("text_path").alias("text_path"))
+    joined = best.join(paths, "url_canonical", "left").withColumn("text_path", F.coalesce("text_path", F.lit("")))
+    return joined.withColumn("unresolved", ~F.col("good") | (F.col("text_path") == ""))
+
+
+def error_rows(captures: DataFrame) -> DataFrame:
+    """(capture_id, url, error) of the captures that failed, as the error file lists them."""
+    return captures.where(F.coalesce("error", F.lit("")) != "").select("capture_id", first_of(captures, "url_original", "url_canonical").alias("url"), "error")
+
+
+def stage_report(stage: str, df: DataFrame, bucket: Column) -> DataFrame:
+    """(stage, bucket, n): rows of a stage's result by bucket, nulls as ''."""
+    return df.groupBy(F.coalesce(bucket.cast("string"), F.lit("")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), "bucket", "n")

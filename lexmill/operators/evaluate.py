@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import metrics
-from lexmill.functions.payload import LIST_FIELDS, empty, stored
+from lexmill.functions.payload import LIST_FIELDS, empty, scan_object, stored
 from lexmill.functions.text import strip
+from lexmill.operators.inference import Generate, ask, judge_prompt
 
 
 MOST_MODELS = 1000
@@ -64,6 +65,48 @@ def per_document(golden: DataFrame, predictions: DataFrame, split: str = "test")
     return scored.withColumn("error_tags", F.concat("__tags", more)).drop("__tags")
 
 
+def source_texts(golden: DataFrame, split: str = "test", longest: int = 6000) -> DataFrame:
+    """(doc_id, text): the start of each gold document's text, which a judge reads; null where there is
+    none. Of a document annotated twice the greater text is taken."""
+    named = golden.where(F.lower(strip(F.col("split"))) == split.strip().lower())
+    return named.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", F.substring("text", 1, longest).alias("text"))
+
+
+def rule_judge(text: Column, pred: Column, status_accuracy: Column) -> Column:
+    """A judge by rules, as JSON text: grounded is the share of the payload's quotes that stand in the
+    text (1 without any), complete the share of statuses that agree, and what isn't grounded is risk."""
+    quotes = F.filter(F.transform(pred["evidence_spans"], lambda s: F.coalesce(s["quote"], F.lit(""))), lambda q: q != "")
+    found = F.size(F.filter(quotes, lambda q: F.contains(F.coalesce(text, F.lit("")), q)))
+    grounded = F.when(F.size(quotes) == 0, 1.0).otherwise(found / F.size(quotes))
+    return F.to_json(F.struct(grounded.alias("groundedness"), status_accuracy.alias("completeness"), (1 - grounded).alias("hallucination_risk")))
+
+
+def judge_answers(scored: DataFrame, texts: DataFrame, generate: Generate, settings: dict | None = None) -> DataFrame:
+    """(doc_id, model_alias, raw_response, error_message): each prediction put before a judge."""
+    j = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    todo = scored.join(texts, "doc_id", "left").select("doc_id", "model_alias", judge_prompt(F.col("text"), j("gold"), j("pred")).alias("prompt"))
+    return ask(todo, generate, settings or {})
+
+
+def judge_scores(answers: DataFrame) -> DataFrame:
+    """(doc_id, model_alias, semantic_score, judge_error) of a judge's answers: an answer without an
+    object scores 0 and is a judge_parse_error, a failed call scores 0 with its message."""
+    v = F.try_parse_json(F.col("__object"))
+    part = lambda n: F.try_variant_get(v, f"$.{n}", "double")
+    failed = F.col("error_message").isNotNull()
+    error = F.when(failed, F.concat(F.lit("judge_error:"), F.col("error_message"))).when(F.col("__object").isNull(), F.lit("judge_parse_error"))
+    score = metrics.judge_score(part("groundedness"), part("completeness"), part("hallucination_risk"))
+    rows = answers.select("doc_id", "model_alias", "error_message", scan_object(F.col("raw_response")).alias("__object"))
+    return rows.select("doc_id", "model_alias", F.when(error.isNull(), score).otherwise(0.0).alias("semantic_score"), error.alias("judge_error"))
+
+
+def with_judge(scored: DataFrame, judged: DataFrame) -> DataFrame:
+    """``scored`` with semantic_score (0 where the judge has none) and the judge's error among the tags."""
+    joined = scored.join(judged, ["doc_id", "model_alias"], "left")
+    tags = F.concat("error_tags", F.array_compact(F.array("judge_error")))
+    return joined.withColumns({"semantic_score": F.coalesce("semantic_score", F.lit(0.0)), "error_tags": tags}).drop("judge_error")
+
+
 def f1_by_model(scored: DataFrame) -> DataFrame:
     """(model_alias, micro_f1, macro_f1): counts summed over documents, macro the mean of the eight
     fields' unrounded F1; both rounded to 4 digits."""
@@ -78,12 +121,15 @@ def f1_by_model(scored: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(golden: DataFrame, predictions: DataFrame, split: str = "test", strict_weight: float = 0.7, semantic_weight: float = 0.3) -> DataFrame:
-    """One row per model, best first by final, then strict score, then name. Without a judge the
-    semantic score is 0."""
+def leaderboard(
+    golden: DataFrame, predictions: DataFrame, split: str = "test", strict_weight: float = 0.7, semantic_weight: float = 0.3, judged: DataFrame | None = None
+) -> DataFrame:
+    """One row per model, best first by final, then strict score, then name. ``judged`` has a judge's
+    scores (doc_id, model_alias, semantic_score, judge_error); without it the semantic score is 0."""
     if abs(strict_weight + semantic_weight - 1) > 1e-6:
         raise ValueError("the weights of the strict and the semantic score must add up to 1")
     scored = per_document(golden, predictions, split)
+    scored = scored.withColumn("semantic_score", F.lit(0.0)) if judged is None else with_judge(scored, judged)
     parts = scored.groupBy("model_alias").agg(
         F.count(F.lit(1)).alias("docs"),
         F.round(F.avg(F.col("pred_structured_valid").cast("double")), 4).alias("structured_valid_rate"),
@@ -92,6 +138,7 @@ def leaderboard(golden: DataFrame, predictions: DataFrame, split: str = "test",
         F.avg((F.col("maturity_gold") == F.col("maturity_pred")).cast("double")).alias("maturity"),
         metrics.kappa(F.col("maturity_gold"), F.col("maturity_pred")).alias("kappa"),
         F.avg("span_overlap").alias("spans"),
+        F.avg("semantic_score").alias("semantic"),
     )
     joined = parts.join(f1_by_model(scored), "model_alias")
     norm = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("kappa") + 1) / 2))
@@ -109,8 +156,8 @@ def leaderboard(golden: DataFrame, predictions: DataFrame, split: str = "test",
         F.round("kappa", 4).alias("maturity_kappa"),
         F.round("spans", 4).alias("evidence_span_overlap"),
         F.round(strict, 4).alias("strict_score"),
-        F.lit(0.0).alias("semantic_score"),
-        F.round(strict_weight * strict, 4).alias("final_score"),
+        F.round("semantic", 4).alias("semantic_score"),
+        F.round(strict_weight * strict + semantic_weight * F.col("semantic"), 4).alias("final_score"),
     )
     return out.orderBy(F.desc("final_score"), F.desc("strict_score"), "model_alias")
 
@@ -145,9 +192,17 @@ def best_model(board: DataFrame, explicit: str | None = None) -> str:
     return row[0]
 
 
+def board_lines(board: DataFrame) -> DataFrame:
+    """(model_alias, line): each model's row of a Markdown table, scores with four digits."""
+    number = lambda c: F.format_string("%.4f", F.col(c))
+    cells = [F.col("model_alias"), *[number(c) for c in ("final_score", "strict_score", "semantic_score", "structured_valid_rate")]]
+    return board.select("model_alias", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def markdown_board(board: DataFrame) -> str:
-    """The leaderboard as a Markdown table; one row per model, so it is small."""
-    rows = board.select("model_alias", "final_score", "strict_score", "semantic_score", "structured_valid_rate").limit(1000).collect()
-    lines = ["| model_alias | final_score | strict_score | semantic_score | structured_valid_rate |", "|---|---:|---:|---:|---:|"]
-    lines += [f"| {r[0]} | " + " | ".join(f"{x:.4f}" for x in r[1:]) + " |" for r in rows]
-    return "\n".join(lines) + "\n"
+    """The leaderboard as a Markdown table; one row per model, refused if the models aren't few."""
+    rows = board_lines(board).limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError("too many models")
+    head = ["| model_alias | final_score | strict_score | semantic_score | structured_valid_rate |", "|---|---:|---:|---:|---:|"]
+    return "\n".join([*head, *[r["line"] for r in rows]]) + "\n"

@@ -17,7 +17,6 @@ from lexmill.functions.payload import normalize, problems, scan_object, snapshot
 # Words by which the rule model recognises its subject and a document's level.
 AI_WORDS = (" ai ", "artificial intelligence", "machine learning", "llm", "generative")
 LEVEL_WORDS = ((2, ("production",), "production"), (3, ("multiple functions", "across functions"), "multi-function"), (4, ("enterprise-wide", "at scale"), "enterprise"))
-PROVIDERS = ("mock", "rules")
 
 
 @dataclass(frozen=True)
@@ -41,9 +40,10 @@ def load_registry(path: str) -> dict[str, Model]:
         missing = [k for k in ("model_alias", "provider", "model_id") if not e.get(k)]
         if missing:
             raise ValueError(f"model without {', '.join(missing)}")
+        extra = {"body": e.get("extra_body") or {}, "headers": e.get("extra_headers") or {}, "api_key_env": e.get("api_key_env") or ""}
         if e["model_alias"] in out:
             raise ValueError(f"alias {e['model_alias']} twice")
-        out[e["model_alias"]] = Model(e["model_alias"], e["provider"], e["model_id"], e.get("base_url", ""), int(e.get("timeout_sec", 60)), e.get("extra_body") or {})
+        out[e["model_alias"]] = Model(e["model_alias"], e["provider"], e["model_id"], e.get("base_url") or "", int(e.get("timeout_sec") or 120), extra)
     if not out:
         raise ValueError("no models in the registry")
     return out
@@ -96,17 +96,17 @@ def rule_answer(text: Column) -> Column:
     listed = lambda *items: F.struct(F.lit("present").alias("status"), F.array(*[F.lit(i) for i in items]).alias("items"))
     open_ = F.struct(F.lit("uncertain").alias("status"), F.array().cast("array<string>").alias("items"))
     none = F.struct(F.lit("absent").alias("status"), F.array().cast("array<string>").alias("items"))
-    span = F.struct(F.lit("deployment_scope").alias("field"), F.lit("AI program is in production").alias("quote"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
+    span = F.struct(F.lit("deployment_scope").alias("field"), F.lit("in production").alias("quote"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
     found = F.struct(
         listed("automation", "decision support").alias("ai_use_cases"), listed("pilot", "copilot").alias("adoption_patterns"), listed("llm", "cloud").alias("ai_stack"),
         listed("productivity").alias("kpi_signals"), open_.alias("budget_signals"), open_.alias("org_change_signals"), listed("data privacy").alias("risk_signals"),
         listed("scale next quarter").alias("roadmap_signals"), F.struct(F.lit("present").alias("status"), scope.alias("value")).alias("deployment_scope"), level.alias("maturity_level"),
-        F.lit("Derived from explicit deployment and impact signals in text.").alias("maturity_rationale"), F.lit(0.78).alias("confidence"), F.array(span).alias("evidence_spans"),
+        F.lit("The text names where and how far the system runs.").alias("maturity_rationale"), F.lit(0.78).alias("confidence"), F.array(span).alias("evidence_spans"),
     )
     missing = F.struct(
         *[none.alias(f) for f in ("ai_use_cases", "adoption_patterns", "ai_stack", "kpi_signals", "budget_signals", "org_change_signals", "risk_signals", "roadmap_signals")],
         F.struct(F.lit("absent").alias("status"), F.lit("").alias("value")).alias("deployment_scope"), F.lit(0).alias("maturity_level"),
-        F.lit("No explicit AI adoption evidence found.").alias("maturity_rationale"), F.lit(0.55).alias("confidence"), F.slice(F.array(span), 1, 0).alias("evidence_spans"),
+        F.lit("The text names no such system.").alias("maturity_rationale"), F.lit(0.55).alias("confidence"), F.slice(F.array(span), 1, 0).alias("evidence_spans"),
     )
     return F.when(any_of(AI_WORDS), F.to_json(found)).otherwise(F.to_json(missing))
 
@@ -157,6 +157,39 @@ def ask(todo: DataFrame, generate: Generate, settings: dict, system: str = "") -
     return todo.select("doc_id", "model_alias", "prompt").mapInArrow(run, "doc_id string, model_alias string, raw_response string, latency_ms bigint, error_message string")
 
 
+def select_documents(dataset: DataFrame, ids: DataFrame | None = None, max_docs: int | None = None) -> DataFrame:
+    """``dataset`` with its position in a run: the documents of a list (doc_id, position) in its order,
+    else all by doc_id; a list's unknown ids are left out and an id that is there twice keeps its first
+    place. ``max_docs`` keeps the first so many."""
+    if ids is None:
+        placed = dataset.withColumn("position", F.col("doc_id"))
+    else:
+        placed = dataset.join(ids.groupBy("doc_id").agg(F.min("position").alias("position")), "doc_id")
+    return placed if max_docs is None else placed.orderBy("position").limit(max_docs)
+
+
+def run_id(prefix: str, at: Column) -> Column:
+    """``prefix`` and a UTC time, as runs are named."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"))
+
+
+def inference_log(predictions: DataFrame) -> DataFrame:
+    """One event a prediction, as JSON text: what a run's log says of it."""
+    event = F.struct("doc_id", "model_alias", "latency_ms", "structured_valid", F.coalesce("error_tags", F.array().cast("array<string>")).alias("error_tags"), F.coalesce("maturity_level", F.lit(0)).alias("maturity_level"))
+    return predictions.select("prediction_id", F.to_json(event, {"ignoreNullFields": "false"}).alias("event"))
+
+
+def annotation_summary(predictions: DataFrame) -> DataFrame:
+    """Per run and model, as annotators check a batch: rows, valid ones and their share, levels and mean
+    confidence of the valid ones."""
+    valid = F.coalesce("structured_valid", F.lit(False))
+    levels = [F.count_if(valid & (F.col("maturity_level") == k)).alias(f"level_{k}") for k in range(5)]
+    return predictions.groupBy("run_id", "model_alias").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(valid).alias("valid"), F.round(F.avg(valid.cast("double")), 4).alias("valid_rate"), F.count_if(~valid).alias("parse_errors"), *levels,
+        F.coalesce(F.round(F.avg(F.when(valid, F.col("confidence"))), 4), F.lit(0.0)).alias("avg_confidence"),
+    )
+
+
 def remaining(dataset: DataFrame, aliases: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Documents and models that have no prediction yet."""
     pairs = dataset.withColumn("model_alias", F.explode(F.array(*[F.lit(a) for a in aliases])))

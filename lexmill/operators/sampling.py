@@ -47,12 +47,50 @@ def allocate(sizes: DataFrame, target: int) -> DataFrame:
     return spare.select("__stratum", "size", (F.col("n") + take).cast("bigint").alias("n"))
 
 
+def take_least(df: DataFrame, key: str, seed: int, plan: DataFrame | None, name: str, n: int | None = None) -> DataFrame:
+    """``df`` with ``name``: whether the row is among the first of its stratum in the order of draw, as
+    many as ``plan`` (__stratum, n) says, or among the first ``n`` of all.
+
+    Rows are counted by the first digits of their hash, so that it is known which of 4096 cells lie wholly
+    inside and in which one the limit falls; rows are only ranked within a cell. A stratum that has a
+    third of all rows is so spread over the cluster.
+    """
+    rows = df.withColumn("__draw", draw(F.col(key), seed)).withColumn("__cell", F.substring("__draw", 1, 3))
+    keys = ["__stratum"] if plan is not None else []
+    cells = rows.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__cell")
+    sized = cells.withColumn("__upto", F.sum("__size").over(upto))
+    sized = sized.join(plan.select("__stratum", F.col("n").alias("__n")), "__stratum") if plan is not None else sized.withColumn("__n", F.lit(n))
+    at = sized.select(*keys, "__cell", (F.col("__n") - (F.col("__upto") - F.col("__size"))).alias("__left"), "__size")
+    joined = rows.join(at, [*keys, "__cell"])
+    # the rank within a cell only counts in the one where the limit falls
+    rank = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy("__draw", key))
+    chosen = F.when(F.col("__left") >= F.col("__size"), True).when(F.col("__left") <= 0, False).otherwise(rank <= F.col("__left"))
+    return joined.withColumn(name, chosen).drop("__draw", "__cell", "__left", "__size")
+
+
 def _ranked(df: DataFrame, target: int, key: str, seed: int, name: str) -> DataFrame:
     """``df`` with ``name``: whether the row is among its stratum's allocated number."""
     sizes = df.groupBy("__stratum").agg(F.count(F.lit(1)).alias("size"))
-    plan = allocate(sizes, target).select("__stratum", "n")
-    order = Window.partitionBy("__stratum").orderBy(draw(F.col(key), seed), key)
-    return df.withColumn("__rank", F.row_number().over(order)).join(plan, "__stratum").withColumn(name, F.col("__rank") <= F.col("n")).drop("__rank", "n")
+    return take_least(df, key, seed, allocate(sizes, target).select("__stratum", "n"), name)
+
+
+def top_up(sample: DataFrame, pool: DataFrame, target: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """``sample`` filled up to ``target`` rows with the first drawn of the rows of ``pool`` that it lacks."""
+    missing = max(0, target - sample.count())
+    left = pool.join(sample.select(key), key, "left_anti")
+    more = take_least(left, key, seed, None, "__in", missing).where("__in").drop("__in")
+    return sample.unionByName(more, allowMissingColumns=True)
+
+
+def golden_order(golden: DataFrame) -> DataFrame:
+    """(doc_id, split, position): documents by split, train before dev before test before any other, and
+    by doc_id, numbered from 1 over all; repeated rows count once."""
+    from lexmill.operators.corpus import numbered
+
+    named = golden.select("doc_id", F.lower(F.trim(F.coalesce("split", F.lit("")))).alias("split")).distinct()
+    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", 1).when(F.col("split") == "test", 2).otherwise(3)
+    return numbered(named.withColumn("__rank", rank), ["__rank", "doc_id", "split"], "position").drop("__rank")
 
 
 def stratified_sample(df: DataFrame, target: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -85,4 +123,4 @@ def golden_scaffold(split: DataFrame, guideline_version: str = "maturity_v1.0")
 def qa_sample(golden: DataFrame, fraction: float = 0.2, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """The share of the golden rows to be reviewed, at least one."""
     n = max(1, round(golden.count() * fraction))
-    return golden.orderBy(draw(F.col(key), seed), key).limit(n)
+    return take_least(golden, key, seed, None, "__in", n).where("__in").drop("__in")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus_queries, evaluation_queries, inference_queries, report_queries
+from lexmill.plans import corpus_queries, evaluation_queries, inference_queries, pipeline_queries, report_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for module in (corpus_queries, evaluation_queries, inference_queries, report_queries):
+for module in (corpus_queries, evaluation_queries, inference_queries, pipeline_queries, report_queries):
     QUERIES.update(module.QUERIES)
     ORACLE.update(module.ORACLE)

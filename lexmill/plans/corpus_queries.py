@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.html import block_flags, error_class, login_flags
@@ -58,7 +58,7 @@ def q_quality(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_best_per_url(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.best_per_url(read(spark, root, "captures")).select("url_canonical", "capture_id", "good", "srank", F.round("qscore", 4).alias("qscore"))
+    return corpus.best_keys(read(spark, root, "captures")).select("url_canonical", "capture_id", "good", "srank", F.round("qscore", 4).alias("qscore"))
 
 
 def q_page_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -83,7 +83,7 @@ def q_error_class(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_doc_numbering(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.dataset_base(corpus.best_per_url(read(spark, root, "captures"))).select("doc_id", "url_canonical", "word_count", "text_len")
+    return corpus.dataset_base(corpus.best_keys(read(spark, root, "captures"))).select("doc_id", "url_canonical", "word_count", "text_len")
 
 
 def q_union_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -114,7 +114,7 @@ def q_list_order_all(spark: SparkSession, root: str) -> DataFrame:
     """The documents of a list in the list's order, all of them: here of the golden test split by id."""
     golden = read(spark, root, "golden").where(F.lower(F.trim("split")) == "test").select("doc_id").distinct()
     listed = golden.join(read(spark, root, "dataset_base").select("doc_id", "title"), "doc_id")
-    return listed.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("position")).orderBy("position")
+    return corpus.numbered(listed, ["doc_id"], "position").select("doc_id", F.col("position").cast("int").alias("position")).orderBy("position")
 
 
 def q_list_order(spark: SparkSession, root: str) -> DataFrame:

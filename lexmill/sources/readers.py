@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from lexmill.functions.text import strip
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is there; a fault of the file system is raised, not taken for absence."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -22,7 +23,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """Objects of a JSON-lines file. Blank and invalid lines and lines that aren't objects are
     skipped; a field of another type is null; a missing path gives an empty table. Fields declared as
     strings keep nested values as JSON text. ``__line`` is the line's position within its file part."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("__line", T.LongType())]))
     lines = spark.read.text(path).withColumn("__line", F.monotonically_increasing_id())
     trimmed = lines.select("__line", F.trim("value").alias("value")).where(F.col("value").startswith("{"))
@@ -53,7 +54,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, text) of a folder of text files; undecodable bytes become replacement characters."""
+    """(path, name, text) of a folder of text files; undecodable bytes become replacement characters, files
+    without a byte give no row."""
     return spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
@@ -73,8 +75,8 @@ def read_predictions(spark: SparkSession, run_folder: str, schema: T.StructType)
     doesn't carry comes from its folder's name."""
     path = os.path.join(run_folder, "*", "predictions.jsonl")
     df = read_jsonl(spark, path, schema)
-    if "model_alias" in df.columns or not _exists(spark, path):
+    if "model_alias" in df.columns or not exists(spark, path):
         return df
-    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/predictions\.jsonl$", 1)
+    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/predictions\.jsonl(?:/[^/]*)?$", 1)
     lines = spark.read.text(path).select(F.trim("value").alias("value"), folder.alias("model_alias"))
     return lines.where(F.col("value").startswith("{")).select("model_alias", F.from_json("value", schema).alias("r")).select("model_alias", "r.*")

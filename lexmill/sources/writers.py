@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """Header and quoted values; nested columns as JSON. An empty table writes its header."""
     flat = [F.to_json(c).alias(c) if t.startswith(("struct", "map", "array<struct")) else F.array_join(c, ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
@@ -32,6 +36,35 @@ def text_store(df: DataFrame, good_only: bool = True) -> DataFrame:
     return rows.select(name.alias("text_file"), "text", "capture_id", "source", "url_original", "url_canonical", "url_final", "domain", "title", "word_count", "text_len", "error", F.coalesce(F.to_json("flags"), F.lit("{}")).alias("flags_json"))
 
 
+def write_texts(df: DataFrame, folder: str) -> None:
+    """A file of UTF-8 text per row of (name, text) in a folder that all executors share. A file is
+    written whole and anew, so a task that is repeated leaves the same; null and empty texts give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        done = 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name and text:
+                    with fs.open_output_stream(f"{root}/{name}") as out:
+                        out.write(text.encode("utf-8"))
+                    done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], type=pa.int64())], names=["n"])
+
+    df.select("name", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def write_errors(df: DataFrame, path: str) -> None:
+    """Rows of failures appended to a CSV folder, each part with its header."""
+    df.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A stage's report, as small as its buckets, as one JSON file in a folder."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_ids(df: DataFrame, path: str, column: str = "doc_id") -> None:
     """Ids, one a line."""
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
