@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,7 +75,6 @@ def first_object(raw: str | None) -> str | None:
         return None
     decoder = json.JSONDecoder()
     at = text.find("{")
-    tries = 0
     while at >= 0:
         try:
             value, _ = decoder.raw_decode(text, at)
@@ -82,8 +82,10 @@ def first_object(raw: str | None) -> str | None:
         except RecursionError:
             return None
         except ValueError:
-            tries += 1
-        at = text.find("{", at + 1)
+            # an object closes with a brace: where none is left, none of the openings ahead can decode
+            at = text.find("{", at + 1)
+            if at >= 0 and text.find("}", at) < 0:
+                return None
     return None
 
 
@@ -98,96 +100,119 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def _as_text(v: Column) -> Column:
     """Text of a VARIANT: strings plain, everything else as JSON; null and missing give ''."""
-    return F.when(_kind(v).isNull() | (_kind(v) == "VOID"), F.lit("")).when(_kind(v) == "STRING", strip(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v))
+    return _bind(
+        _kind(v), lambda k: F.when(k.isNull() | (k == "VOID"), F.lit("")).when(k == "STRING", strip(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v))
+    )
 
 
 def _status(v: Column) -> Column:
-    s = F.lower(_as_text(v))
-    return F.when(s.isin(*STATUSES), s).otherwise(F.lit("uncertain"))
+    return _bind(F.lower(_as_text(v)), lambda s: F.when(s.isin(*STATUSES), s).otherwise(F.lit("uncertain")))
 
 
 def _unique(items: Column) -> Column:
     """The items without later repetitions that differ in case only."""
     empty = F.array().cast("array<string>")
     return F.aggregate(
-        items, empty, lambda acc, x: F.when(F.array_contains(F.transform(acc, F.lower), F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
+        items, empty, lambda acc, x: F.when(F.array_contains(F.transform(acc, lambda y: F.lower(y)), F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
     )
 
 
 def _items(v: Column) -> Column:
     """Items of a list field: a list's non-blank entries as text, a string's comma-separated pieces
     (blank ones kept), any other value as one item; null gives none."""
-    kind = _kind(v)
-    entries = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), _as_text), lambda x: x != "")
-    pieces = F.transform(F.split(F.try_variant_get(v, "$", "string"), ","), strip)
     none = F.array().cast("array<string>")
-    blank = F.try_variant_get(v, "$", "string") == ""
-    return F.when(kind.isNull() | (kind == "VOID"), none).when(kind.startswith("ARRAY"), _unique(entries)).when((kind == "STRING") & blank, none).when(
-        kind == "STRING", _unique(pieces)
-    ).otherwise(F.array(F.to_json(v)))
+
+    def by_kind(kind: Column) -> Column:
+        entries = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _as_text(x)), lambda x: x != "")
+        text = F.try_variant_get(v, "$", "string")
+        pieces = F.transform(F.split(text, ","), lambda x: strip(x))
+        return (
+            F.when(kind.isNull() | (kind == "VOID"), none).when(kind.startswith("ARRAY"), _unique(entries)).when((kind == "STRING") & (text == ""), none)
+            .when(kind == "STRING", _unique(pieces)).otherwise(F.array(F.to_json(v)))
+        )
+
+    return _bind(_kind(v), by_kind)
 
 
 def _integer(v: Column) -> Column:
     """Whole number: of a bare number its whole part, of a string only if it spells one, of a truth
     value 1 or 0; null otherwise."""
-    kind = _kind(v)
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(kind == "STRING", F.trim(text).try_cast("bigint")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")).otherwise(
-        F.try_variant_get(v, "$", "double").try_cast("bigint")
+    return _bind(
+        _kind(v),
+        lambda k: F.when(k == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("bigint"))
+        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
+        .otherwise(F.try_variant_get(v, "$", "double").try_cast("bigint")),
     )
 
 
 def _span(v: Column) -> Column:
     pick = lambda names: F.coalesce(*[_present(F.try_variant_get(v, f"$.{n}", "variant")) for n in names])
-    field = _as_text(F.try_variant_get(v, "$.field", "variant"))
-    start = _integer(pick(START_NAMES)).try_cast("int")
-    end = _integer(pick(END_NAMES)).try_cast("int")
-    start, end = F.when(start >= 0, start), F.when(end >= 0, end)
-    swap = F.coalesce(end < start, F.lit(False))
-    return F.struct(
-        F.when(field.isin(*FIELDS, "maturity_rationale"), field).otherwise(F.lit("")).alias("field"),
-        F.coalesce(F.substring(_as_text(pick(QUOTE_NAMES)), 1, LONGEST_QUOTE), F.lit("")).alias("quote"),
-        F.when(swap, end).otherwise(start).alias("start_char"),
-        F.when(swap, start).otherwise(end).alias("end_char"),
-    )
+    number = lambda names: _bind(pick(names), lambda x: _bind(_integer(x).try_cast("int"), lambda n: F.when(n >= 0, n)))
+    offsets = F.struct(number(START_NAMES).alias("a"), number(END_NAMES).alias("b"))
+    swap = lambda o: F.coalesce(o["b"] < o["a"], F.lit(False))
+    ordered = _bind(offsets, lambda o: F.struct(F.when(swap(o), o["b"]).otherwise(o["a"]).alias("a"), F.when(swap(o), o["a"]).otherwise(o["b"]).alias("b")))
+    field = _bind(F.try_variant_get(v, "$.field", "variant"), lambda x: _bind(_as_text(x), lambda t: F.when(t.isin(*FIELDS, "maturity_rationale"), t).otherwise(F.lit(""))))
+    quote = _bind(pick(QUOTE_NAMES), lambda x: F.coalesce(F.substring(_as_text(x), 1, LONGEST_QUOTE), F.lit("")))
+    return _bind(ordered, lambda o: F.struct(field.alias("field"), quote.alias("quote"), o["a"].alias("start_char"), o["b"].alias("end_char")))
 
 
 def _present(v: Column) -> Column:
-    return F.when(_kind(v) != "VOID", v)
+    return _bind(v, lambda x: F.when(_kind(x) != "VOID", x))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
+
+
+def _list_field(raw: Column) -> Column:
+    """struct(status, items) of a list field, whether it is an object or bare items."""
+    none = F.array().cast("array<string>")
+    within = lambda name, use: _bind(F.try_variant_get(raw, f"$.{name}", "variant"), use)
+
+    def bare(items: Column) -> Column:
+        return F.struct(F.when(F.size(items) > 0, F.lit("present")).otherwise(F.lit("uncertain")).alias("status"), items.alias("items"))
+
+    own = _bind(within("status", _status), lambda s: F.struct(s.alias("status"), F.when(s == "absent", none).otherwise(within("items", _items)).alias("items")))
+    return F.when(_is_object(raw), own).otherwise(_bind(_items(raw), bare))
+
+
+def _scalar_field(raw: Column) -> Column:
+    within = lambda name, use: _bind(F.try_variant_get(raw, f"$.{name}", "variant"), use)
+    bare = _bind(_as_text(raw), lambda t: F.struct(F.when(t != "", F.lit("present")).otherwise(F.lit("uncertain")).alias("status"), t.alias("value")))
+    own = _bind(within("status", _status), lambda s: F.struct(s.alias("status"), F.when(s == "absent", F.lit("")).otherwise(within("value", _as_text)).alias("value")))
+    return F.when(_is_object(raw), own).otherwise(bare)
+
+
+def _confidence(sure: Column) -> Column:
+    text = F.trim(F.try_variant_get(sure, "$", "string")).try_cast("double")
+    number = F.when(_kind(sure) == "STRING", text).otherwise(F.try_variant_get(sure, "$", "double"))
+    return _bind(number, lambda n: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(n), F.lit(0.0)).otherwise(F.coalesce(n, F.lit(0.0))))), 4))
 
 
 def normalize(canonical: Column) -> Column:
     """PAYLOAD of a canonical JSON object. Null, unreadable JSON and anything but an object give the
     empty payload: every status uncertain, no items, level and confidence 0."""
-    v = F.try_parse_json(canonical)
-    parts = []
-    for f in LIST_FIELDS:
-        raw = F.try_variant_get(v, f"$.{f}", "variant")
-        own = F.coalesce(_kind(raw).startswith("OBJECT"), F.lit(False))
-        bare = _items(raw)
-        status = F.when(own, _status(F.try_variant_get(raw, "$.status", "variant"))).when(F.size(bare) > 0, F.lit("present")).otherwise(F.lit("uncertain"))
-        items = F.when(own, _items(F.try_variant_get(raw, "$.items", "variant"))).otherwise(bare)
-        none = F.array().cast("array<string>")
-        parts.append(F.struct(status.alias("status"), F.when(status == "absent", none).otherwise(items).alias("items")).alias(f))
-    raw = F.try_variant_get(v, f"$.{SCALAR_FIELD}", "variant")
-    own = F.coalesce(_kind(raw).startswith("OBJECT"), F.lit(False))
-    bare = _as_text(raw)
-    status = F.when(own, _status(F.try_variant_get(raw, "$.status", "variant"))).when(bare != "", F.lit("present")).otherwise(F.lit("uncertain"))
-    value = F.when(own, _as_text(F.try_variant_get(raw, "$.value", "variant"))).otherwise(bare)
-    parts.append(F.struct(status.alias("status"), F.when(status == "absent", F.lit("")).otherwise(value).alias("value")).alias(SCALAR_FIELD))
-    level = F.coalesce(_integer(F.try_variant_get(v, "$.maturity_level", "variant")), F.lit(0))
-    parts.append(F.greatest(F.lit(0), F.least(F.lit(4), level)).cast("int").alias("maturity_level"))
-    parts.append(_as_text(F.try_variant_get(v, "$.maturity_rationale", "variant")).alias("maturity_rationale"))
-    sure = F.try_variant_get(v, "$.confidence", "variant")
-    number = F.coalesce(F.when(_kind(sure) == "STRING", F.trim(F.try_variant_get(sure, "$", "string")).try_cast("double")).otherwise(F.try_variant_get(sure, "$", "double")), F.lit(0.0))
-    number = F.when(F.isnan(number), F.lit(0.0)).otherwise(number)
-    parts.append(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), 4).alias("confidence"))
-    spans = F.try_variant_get(v, "$.evidence_spans", "array<variant>")
-    kept = F.filter(F.slice(spans, 1, MOST_SPANS), lambda s: F.coalesce(_kind(s).startswith("OBJECT"), F.lit(False)))
-    parts.append(F.coalesce(F.transform(kept, _span), F.array().cast(T.ArrayType(SPAN))).alias("evidence_spans"))
-    return F.struct(*parts)
+
+    def payload(v: Column) -> Column:
+        get = lambda name, use: _bind(F.try_variant_get(v, f"$.{name}", "variant"), use)
+        spans = F.filter(F.slice(F.try_variant_get(v, "$.evidence_spans", "array<variant>"), 1, MOST_SPANS), lambda s: _is_object(s))
+        return F.struct(
+            *[get(f, _list_field).alias(f) for f in LIST_FIELDS],
+            get(SCALAR_FIELD, _scalar_field).alias(SCALAR_FIELD),
+            get("maturity_level", lambda x: F.greatest(F.lit(0), F.least(F.lit(4), F.coalesce(_integer(x), F.lit(0)))).cast("int")).alias("maturity_level"),
+            get("maturity_rationale", _as_text).alias("maturity_rationale"),
+            get("confidence", _confidence).alias("confidence"),
+            F.coalesce(F.transform(spans, lambda s: _span(s)), F.array().cast(T.ArrayType(SPAN))).alias("evidence_spans"),
+        )
+
+    return _bind(F.try_parse_json(canonical), payload)
 
 
 def stored(payload: Column) -> Column:
