@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import count_words, is_blank, normalize_year, strip
-from lexmill.functions.url import base_domain, canonicalize_url, host_of
+from lexmill.functions.text import count_words, is_blank, normalize_year, strip, to_count
+from lexmill.functions.url import base_domain, canonicalize_url, host_of, normalize_url
 from lexmill.runtime import cut
 
 # Phrases that mark a text as junk, each with its penalty, and the score of nothing.
@@ -190,3 +190,18 @@ def error_rows(captures: DataFrame) -> DataFrame:
 def stage_report(stage: str, df: DataFrame, bucket: Column) -> DataFrame:
     """(stage, bucket, n): rows of a stage's result by bucket, nulls as ''."""
     return df.groupBy(F.coalesce(bucket.cast("string"), F.lit("")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), "bucket", "n")
+
+
+def bucket(rows: DataFrame) -> DataFrame:
+    """A bucket of fetched pages, one row an address: addresses in normal form, counts as whole numbers
+    (0 for what isn't one), null texts as ''. The row with most words stays, then most characters, then
+    the greatest text. Columns a bucket lacks count as missing."""
+    there = lambda c, otherwise: F.col(c) if c in rows.columns else F.lit(otherwise)
+    shaped = rows.select(
+        normalize_url(F.col("url")).alias("url_norm"),
+        *[to_count(there(c, 0).cast("string")).alias(c) for c in ("status_code", "word_count", "text_len")],
+        F.coalesce(there("text", "").cast("string"), F.lit("")).alias("text"),
+    )
+    best = shaped.groupBy("url_norm").agg(F.max(F.struct("word_count", "text_len", "text", "status_code")).alias("b"))
+    named = best.select("url_norm", "b.word_count", "b.text_len", "b.text", "b.status_code")
+    return named.withColumns({"base_domain": base_domain(F.col("url_norm")), "is_medium_candidate": is_medium_backed(F.col("url_norm"))})

@@ -22,6 +22,7 @@ from lexmill.plans.evaluation_queries import _STRATA, SCORED, SPLIT, _alloc
 from lexmill.plans.report_queries import LAST
 from lexmill.runtime import read, scratch, spread
 from lexmill.sources import readers, writers
+from lexmill.sources.xlsx import read_xlsx, write_xlsx
 from lexmill.streaming import ingest
 
 # pages
@@ -281,6 +282,33 @@ def q_text_files(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("text_sha1"))
 
 
+def q_bucket(spark: SparkSession, root: str) -> DataFrame:
+    """Captures written as a bucket of JSON lines, counts as text, and loaded as one row an address."""
+    folder = scratch(spark, "bucket")
+    c = read(spark, root, "captures").select(F.col("url_original").alias("url"), F.col("word_count").cast("string").alias("word_count"), "text_len", "text")
+    writers.write_jsonl(c, folder)
+    b = corpus.bucket(readers.read_jsonl(spark, folder, _schema("url string, word_count string, text_len int, text string")))
+    return b.select("url_norm", "status_code", "word_count", "text_len", F.length("text").alias("n"), "base_domain", "is_medium_candidate")
+
+
+def q_text_export(spark: SparkSession, root: str) -> DataFrame:
+    """The good captures as a text store, and its files beside its index."""
+    folder = scratch(spark, "store")
+    writers.export_text_store(read(spark, root, "captures"), folder)
+    index = readers.read_csv(spark, f"{folder}/index", _schema("text_file string, capture_id bigint, source string, url_original string, url_canonical string, url_final string, domain string, title string, word_count int, text_len int, error string, flags_json string"))
+    files = readers.read_texts(spark, f"{folder}/texts").select(F.col("name").alias("text_file"), F.sha1(F.encode("text", "UTF-8")).alias("text_sha1"))
+    return index.join(files, "text_file").select("capture_id", "text_file", F.coalesce("error", F.lit("")).alias("error"), "flags_json", "text_sha1")
+
+
+def q_xlsx(spark: SparkSession, root: str) -> DataFrame:
+    """Fixed tables as two sheets of a workbook, and the first read back."""
+    path = f"{scratch(spark, 'book')}.xlsx"
+    targets = read(spark, root, "mix_targets")
+    write_xlsx(path, targets=targets, trust=read(spark, root, "method_trust"))
+    back = read_xlsx(spark, path)
+    return back.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
+
+
 # streams
 
 
@@ -307,7 +335,7 @@ def q_stream_answers(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     q_article_text, q_dom_text, q_fallback_text, q_json_html, q_payload_wellformed, q_status_snapshot, q_rejected_appends, q_parse_error_rows, q_loose_types, q_judge_scores, q_leaderboard_judged, q_board_lines,
     q_final_best, q_ordered_docs, q_max_docs, q_run_ids, q_inference_log, q_annotation_summary, q_prompt_v2, q_judge_prompt, q_top_up, q_golden_order, q_http_good, q_exported_paths, q_fallback_columns, q_error_rows,
-    q_stage_reports, q_jsonl, q_csv, q_url_list, q_id_list, q_run_files, q_text_files, q_stream_windows, q_stream_answers,
+    q_stage_reports, q_jsonl, q_csv, q_url_list, q_id_list, q_run_files, q_text_files, q_bucket, q_text_export, q_xlsx, q_stream_windows, q_stream_answers,
 )}
 
 _STRIP = lambda c: rf"regexp_replace({c}, '^[{RE2_SPACE}]+|[{RE2_SPACE}]+$', '', 'g')"
@@ -345,7 +373,17 @@ _REJECT = "CASE WHEN coalesce(trim(doc_id), '') = '' THEN 'no_doc_id' WHEN p IS
     + [f"WHEN coalesce(json_extract_string(p, '$.{f}.status'), '') NOT IN ('present', 'absent', 'uncertain') THEN 'bad_status:{f}'" for f in FIELDS]
 ) + " WHEN CAST(json_extract(p, '$.maturity_level') AS INTEGER) NOT BETWEEN 0 AND 4 THEN 'bad_level' WHEN CAST(json_extract(p, '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'bad_confidence' END"
 
+_SLUG80 = f"trim(substr(replace({corpus_queries._SLUG}, ' ', '_'), 1, 80), '_')"
+_URL = corpus_queries._NORMAL("url_original")
+_HOST = corpus_queries.HOST_SQL("url_norm")
 ORACLE = {
+    "q_bucket": f"""WITH n AS (SELECT {_URL} AS url_norm, coalesce(word_count, 0) AS word_count, coalesce(text_len, 0) AS text_len, coalesce(text, '') AS text FROM captures),
+b AS (SELECT *, row_number() OVER (PARTITION BY url_norm ORDER BY word_count DESC, text_len DESC, text DESC) AS rn FROM n)
+SELECT url_norm, 0 AS status_code, word_count, text_len, CAST(length(text) AS INTEGER) AS n, {corpus_queries._BASE(_HOST)} AS base_domain, regexp_replace({_HOST}, '^www\\.', '') = 'medium.com'
+  OR regexp_matches(regexp_replace(regexp_extract(url_norm, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '(?i)-[0-9a-f]{{10,14}}$') AS is_medium_candidate FROM b WHERE rn = 1""",
+    "q_text_export": f"""SELECT capture_id, printf('%04d', capture_id) || '_' || coalesce(domain, '') || '_' || CASE WHEN {_SLUG80} = '' THEN 'doc' ELSE {_SLUG80} END || '.txt' AS text_file, coalesce(error, '') AS error,
+  coalesce(CAST(to_json(flags) AS VARCHAR), '{{}}') AS flags_json, sha1(text) AS text_sha1 FROM captures WHERE {_GOOD} AND coalesce(text, '') <> ''""",
+    "q_xlsx": "SELECT source, target_share, max_repeats FROM mix_targets",
     "q_article_text": f"SELECT doc_id, CASE WHEN length({_LINES}) >= 200 THEN sha1({_LINES}) END AS text_sha1, nullif(trim(coalesce(title, '')), '') AS title FROM documents",
     "q_dom_text": f"""WITH t AS (SELECT doc_id, {_LINES} AS a FROM documents), u AS (SELECT doc_id, a, 'Menu' || chr(10) || a || CASE WHEN a = '' THEN '' ELSE chr(10) END || 'End' AS b FROM t)
 SELECT doc_id, CASE WHEN length(a) >= 400 THEN 'playwright_article' WHEN length(b) >= 400 THEN 'playwright_body' END AS method,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -68,3 +69,8 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() * 2 <= width:
         return df.repartition(width)
     return df
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path or address names, and the path within it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")

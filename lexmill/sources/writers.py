@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import safe_slug
 from lexmill.operators.corpus import is_good
+from lexmill.runtime import file_system
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -32,7 +32,9 @@ def write_predictions(df: DataFrame, path: str) -> None:
 def text_store(df: DataFrame, good_only: bool = True) -> DataFrame:
     """(text_file, text and the index columns) of a text store, one file name a document."""
     rows = df.where(is_good(F.col("word_count"), F.col("text_len")) & F.col("text").isNotNull()) if good_only else df.where(F.col("text").isNotNull())
-    name = F.concat_ws("_", F.lpad(F.col("capture_id").cast("string"), 4, "0"), F.coalesce("domain", F.lit("")), F.concat(safe_slug(F.col("title")), F.lit(".txt")))
+    number = F.col("capture_id").cast("string")
+    number = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    name = F.concat_ws("_", number, F.coalesce("domain", F.lit("")), F.concat(safe_slug(F.col("title")), F.lit(".txt")))
     return rows.select(name.alias("text_file"), "text", "capture_id", "source", "url_original", "url_canonical", "url_final", "domain", "title", "word_count", "text_len", "error", F.coalesce(F.to_json("flags"), F.lit("{}")).alias("flags_json"))
 
 
@@ -41,7 +43,7 @@ def write_texts(df: DataFrame, folder: str) -> None:
     written whole and anew, so a task that is repeated leaves the same; null and empty texts give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         done = 0
         for batch in batches:
@@ -55,6 +57,13 @@ def write_texts(df: DataFrame, folder: str) -> None:
     df.select("name", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
 
 
+def export_text_store(df: DataFrame, folder: str, good_only: bool = True) -> None:
+    """A text store: a file per document below ``texts`` and their list as CSV below ``index``."""
+    store = text_store(df, good_only)
+    write_texts(store.select(F.col("text_file").alias("name"), "text"), f"{folder}/texts")
+    write_csv(store.drop("text"), f"{folder}/index")
+
+
 def write_errors(df: DataFrame, path: str) -> None:
     """Rows of failures appended to a CSV folder, each part with its header."""
     df.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

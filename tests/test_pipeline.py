@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import html
 from lexmill.operators import corpus, evaluate, inference, providers, sampling
 from lexmill.runtime import scratch, shared_folder
-from lexmill.sources import readers, writers
+from lexmill.sources import readers, writers, xlsx
 
 MODEL = inference.Model("m", "openai", "some-model", "http://host/v1/", 5, {"body": {"extra": 1}, "headers": {"X": "y"}, "api_key_env": "LEXMILL_TEST_KEY"})
 
@@ -169,3 +169,21 @@ def test_best_page_when_ids_repeat(spark):
     df = df.withColumns({"url_original": F.col("url_canonical"), "source": F.lit("http"), "extraction_method": F.lit("http"), "title": F.lit(None).cast("string"), "word_count": F.lit(None).cast("int"), "text_len": F.lit(None).cast("int")})
     rows = corpus.best_per_url(df).collect()
     assert [(r["capture_id"], r["word_count"]) for r in rows] == [(1, 400)]
+
+
+def test_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([("a & <b> \n", 1, 2.5, True), (None, None, None, None), ("x\x01y", -3, 1e-9, False)], "t string, n int, d double, b boolean")
+    path = str(tmp_path / "b.xlsx")
+    xlsx.write_xlsx(path, first=df, second=df.where("false"))
+    got = [tuple(r) for r in xlsx.read_xlsx(spark, path).collect()]
+    assert got == [("a & <b> \n", "1", "2.5", "true"), (None,) * 4, ("xy", "-3", "1e-09", "false")]
+    xlsx.write_xlsx(path, only=df.where("false"))
+    assert xlsx.read_xlsx(spark, path).columns == ["t", "n", "d", "b"] and xlsx.read_xlsx(spark, path).count() == 0
+    assert [xlsx._letters(n) for n in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and xlsx._column("AAA") == 702
+
+
+def test_bucket(spark):
+    rows = [("https://a.example/x", "12", 100, "one"), (" https://a.example/x", "x", 900, "two"), ("https://a.example/x", "12", 100, "three"), ("b.example", None, None, None)]
+    got = {r["url_norm"]: (r["word_count"], r["text"], r["status_code"]) for r in corpus.bucket(spark.createDataFrame(rows, "url string, word_count string, text_len int, text string")).collect()}
+    assert got == {"https://a.example/x": (12, "three", 0), "https://b.example": (0, "", 0)}
+    assert corpus.bucket(spark.createDataFrame([], "url string")).collect() == []
