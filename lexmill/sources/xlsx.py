@@ -117,5 +117,6 @@ def write_xlsx(path: str, **sheets: DataFrame) -> None:
         for name, text in parts.items():
             book.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
     fs, target = file_system(path)
+    fs.create_dir(target.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(target) as out:
         out.write(whole.getvalue())
