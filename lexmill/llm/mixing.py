@@ -144,7 +144,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42, path: str | None =
         done = closed if done is None else done.unionByName(closed)
         rest = settled.where("open").select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), "doc_id", "n_tokens", "whole", "fraction")
         if buckets == 1:
-            last = rest.select("source", "bucket", "doc_id", "n_tokens", (F.col("whole") + F.round("fraction").cast("int")).alias("whole"), F.lit(0.0).alias("fraction"), F.lit(False).alias("open"))
+            # the one fraction that a source is left with is drawn, as every other was
+            drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("last")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("fraction")
+            last = rest.select("source", "bucket", "doc_id", "n_tokens", (F.col("whole") + drawn.cast("int")).alias("whole"), F.lit(0.0).alias("fraction"), F.lit(False).alias("open"))
             return done.unionByName(last).select("doc_id", "source", "n_tokens", F.col("whole").alias("copies"))
         rows, buckets = rest, math.ceil(buckets / FAN)
 

@@ -84,6 +84,10 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return split_overlap.overlaps(read(spark, root, "golden"), read(spark, root, "dataset_base"))
 
 
+def p7_members(spark: SparkSession, root: str) -> DataFrame:
+    return split_overlap.memberships(read(spark, root, "golden"), read(spark, root, "dataset_base"))
+
+
 def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return split_overlap.overlap_report(read(spark, root, "golden"), read(spark, root, "dataset_base"))
 
@@ -127,6 +131,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_found": p7_found,
+    "p7_members": p7_members,
     "p7_report": p7_report,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,

@@ -120,6 +120,18 @@ def class_links(golden: DataFrame, dataset_base: DataFrame, threshold: float = T
     return members, near.unionByName(same)
 
 
+def memberships(golden: DataFrame, dataset_base: DataFrame, threshold: float = THRESHOLD, floor: int = FLOOR) -> DataFrame:
+    """(doc_id, cls, n_copies, n_links): each document of a split with words, its class of equal texts,
+    how many documents that has, and to how many other classes it is linked. One row a document: groups
+    of copies aren't expanded into pairs."""
+    members, links = class_links(golden, dataset_base, threshold, floor)
+    near = links.where(F.col("t") != F.col("e"))
+    ends = near.select(F.col("t").alias("cls"), F.col("e").alias("other")).unionByName(near.select(F.col("e").alias("cls"), F.col("t").alias("other")))
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_copies"))
+    counted = sizes.join(ends.distinct().groupBy("cls").agg(F.count(F.lit(1)).alias("n_links")), "cls", "left")
+    return members.select("doc_id", "cls").join(counted, "cls").select("doc_id", "cls", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def frequent_terms(classes: DataFrame, n: int, floor: int = FLOOR) -> DataFrame:
     """(term, df): terms of two classes and more, of both sides, and of at least one class in ``floor``.
     Counts are exact and combined before the shuffle."""

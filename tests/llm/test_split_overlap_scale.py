@@ -63,3 +63,12 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert [tuple(r) for r in split_overlap.overlaps(golden, base).collect()] == [("A", "B")]
     report = [tuple(r) for r in split_overlap.overlap_report(golden, base).collect()]
     assert report == [("dev", "", 2, 1, 1)]
+
+
+def test_memberships_are_one_row_a_document(spark):
+    long = [f"w{i}" for i in range(120)]
+    rows = [(f"T{i}", " ".join(long)) for i in range(40)] + [(f"V{i}", " ".join(long)) for i in range(30)] + [("N", " ".join(long[:115] + ["a"] * 5)), ("O", " ".join(f"o{i}" for i in range(50))), ("E", "")]
+    base = spark.createDataFrame(rows, "doc_id string, text string")
+    golden = base.select("doc_id", F.when(F.col("doc_id").startswith("T"), "train").otherwise("dev").alias("split"))
+    got = {r["doc_id"]: (r["n_copies"], r["n_links"]) for r in split_overlap.memberships(golden, base).collect()}
+    assert len(got) == 72 and got["T3"] == got["V3"] == (70, 1) and got["N"] == (1, 1) and got["O"] == (1, 0)
