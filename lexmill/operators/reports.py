@@ -358,10 +358,17 @@ def tokens_against_fill(last: DataFrame) -> DataFrame:
 
 
 def running_distribution(last: DataFrame, every: int = 10) -> DataFrame:
-    """Counts of levels after every ``every`` documents of each model, in the order of doc_id."""
-    w = Window.partitionBy("model_alias").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    counts = {f"level_{k}": F.count_if(F.col("maturity_level") == k).over(w) for k in LEVELS}
-    return last.select("model_alias", F.row_number().over(Window.partitionBy("model_alias").orderBy("doc_id")).alias("docs"), *[c.alias(n) for n, c in counts.items()]).where(F.col("docs") % every == 0)
+    """Counts of levels after every ``every`` documents of each model, in the order of doc_id. Documents
+    are numbered by range over the cluster and counted per block; only blocks are summed up in order."""
+    from lexmill.operators.corpus import numbered
+
+    placed = numbered(last.select("model_alias", "doc_id", "maturity_level"), ["model_alias", "doc_id"], "__n")
+    first = placed.groupBy("model_alias").agg(F.min("__n").alias("__first"))
+    block = F.floor((F.col("__n") - F.col("__first")) / every).alias("__block")
+    blocks = placed.join(first, "model_alias").groupBy("model_alias", block).agg(F.count(F.lit(1)).alias("__size"), *[F.count_if(F.col("maturity_level") == k).alias(f"__{k}") for k in LEVELS])
+    w = Window.partitionBy("model_alias").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = blocks.select("model_alias", "__size", ((F.col("__block") + 1) * every).cast("int").alias("docs"), *[F.sum(f"__{k}").over(w).alias(f"level_{k}") for k in LEVELS])
+    return sums.where(F.col("__size") == every).drop("__size")
 
 
 def batch_delta(predictions: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from lexmill.operators import evaluate as E
 from lexmill.operators import inference as I  # noqa: E741
 from lexmill.operators import sampling as S
 from lexmill.plans import corpus_queries
-from lexmill.plans.evaluation_queries import _STRATA, SCORED, SPLIT, _alloc
+from lexmill.plans.evaluation_queries import _SPLIT, _STRATA, DEV, SAMPLE, SCORED, SPLIT, TRAIN, _alloc
 from lexmill.plans.report_queries import LAST
 from lexmill.runtime import read, scratch, spread
 from lexmill.sources import readers, writers
@@ -191,6 +191,20 @@ def q_golden_order(spark: SparkSession, root: str) -> DataFrame:
     return S.golden_order(read(spark, root, "golden"))
 
 
+def q_scaffold_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The scaffold of q_golden_scaffold row by row."""
+    base = read(spark, root, "dataset_base").select("doc_id", "industry", "year", "text_len")
+    golden = S.golden_scaffold(S.assign_splits(S.stratified_sample(base, SAMPLE), TRAIN, DEV))
+    return golden.select("doc_id", "split", "annotator_id", "qa_status", "guideline_version", "gold_fields_payload")
+
+
+def q_union_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of q_union_sources, with nulls for the columns a source lacks."""
+    c = read(spark, root, "captures").select(F.col("url_canonical").alias("url"), "domain", "title", "word_count", F.lit("capture").alias("origin"))
+    b = read(spark, root, "dataset_base").select(F.col("url_canonical").alias("url"), "company", "title", "word_count", F.lit("base").alias("origin"))
+    return corpus.union_sources(c, b)
+
+
 # reports and joins of the last stages
 
 
@@ -334,7 +348,7 @@ def q_stream_answers(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     q_article_text, q_dom_text, q_fallback_text, q_json_html, q_payload_wellformed, q_status_snapshot, q_rejected_appends, q_parse_error_rows, q_loose_types, q_judge_scores, q_leaderboard_judged, q_board_lines,
-    q_final_best, q_ordered_docs, q_max_docs, q_run_ids, q_inference_log, q_annotation_summary, q_prompt_v2, q_judge_prompt, q_top_up, q_golden_order, q_http_good, q_exported_paths, q_fallback_columns, q_error_rows,
+    q_final_best, q_ordered_docs, q_max_docs, q_run_ids, q_inference_log, q_annotation_summary, q_prompt_v2, q_judge_prompt, q_top_up, q_golden_order, q_scaffold_rows, q_union_rows, q_http_good, q_exported_paths, q_fallback_columns, q_error_rows,
     q_stage_reports, q_jsonl, q_csv, q_url_list, q_id_list, q_run_files, q_text_files, q_bucket, q_text_export, q_xlsx, q_stream_windows, q_stream_answers,
 )}
 
@@ -431,6 +445,9 @@ ex AS (SELECT doc_id FROM dataset_base WHERE doc_id NOT IN (SELECT doc_id FROM s
 SELECT doc_id FROM sm UNION ALL SELECT doc_id FROM ex""",
     "q_golden_order": """WITH d AS (SELECT DISTINCT doc_id, lower(trim(coalesce(split, ''))) AS split FROM golden)
 SELECT doc_id, split, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 WHEN 'test' THEN 2 ELSE 3 END, doc_id, split) AS position FROM d""",
+    "q_scaffold_rows": f"""WITH {_SPLIT.strip()} SELECT doc_id, split, '' AS annotator_id, 'pending' AS qa_status, 'maturity_v1.0' AS guideline_version, '{_ABSENT.replace('"absent"', '"uncertain"')}' AS gold_fields_payload FROM sl""",
+    "q_union_rows": """SELECT url_canonical AS url, domain, title, word_count, 'capture' AS origin, NULL::VARCHAR AS company FROM captures
+UNION ALL SELECT url_canonical, NULL, title, word_count, 'base', company FROM dataset_base""",
     "q_http_good": f"WITH c AS ({_RECOUNT}) SELECT capture_id, coalesce(error IS NULL, false) AND {_GOOD} AS http_good FROM c WHERE source = 'http'",
     "q_exported_paths": f"""SELECT b.url_canonical, capture_id, good, coalesce(p.text_path, '') AS text_path, NOT good OR coalesce(p.text_path, '') = '' AS unresolved
 FROM ({corpus_queries.ORACLE['q_best_per_url']}) b LEFT JOIN (SELECT url_canonical, min(text_path) AS text_path FROM dataset_base GROUP BY 1) p ON b.url_canonical = p.url_canonical""",
