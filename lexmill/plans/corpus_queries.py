@@ -149,6 +149,7 @@ _any = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in
 _T = "lower(substr(coalesce(text, ''), 1, 2000))"
 _H = "lower(substr(coalesce(text, ''), 1, 12000))"
 _H2 = "lower(substr(coalesce(text, ''), 1, 20000))"
+# The phrases of functions/html.py as the SQL has them; both change together.
 _PAY = ["member-only", "members-only", "this story is for members", "become a member", "to continue reading", "get unlimited access"]
 _BLOCK = ["unusual traffic", "verify you are a human", "cf-chl", "cloudflare", "captcha", "access denied", "temporarily unavailable"]
 _LOGIN = ["sign in", "log in", "login", "join linkedin", "authwall", "create an account"]
