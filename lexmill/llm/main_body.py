@@ -232,9 +232,10 @@ _NODE = "line_no int, host bigint, page bigint, kind int, key bigint"
 NO_HOST = 0
 
 
-def _nodes(docs: DataFrame, doc_id: str, text: str, url: str) -> DataFrame:
-    """One pass over the documents that have a body: a row for each tree node of each line, and one with
-    line 0 a document."""
+def _nodes(docs: DataFrame, doc_id: str, text: str, url: str, every: bool = False) -> DataFrame:
+    """One pass over the documents whose text holds no residue: a row for each tree node of each line, and
+    one with line 0 a document. With ``every`` there are also those that hold some, as no page, so that
+    the other documents' counts stay as they are."""
     docs = spread(docs.select(doc_id, text, url))
     model = docs.sparkSession.sparkContext.broadcast(residue.fit(residue.count_ngrams(docs, text)))
 
@@ -245,10 +246,11 @@ def _nodes(docs: DataFrame, doc_id: str, text: str, url: str) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, odd = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        gone = {i for i, *_ in residue.windows(texts, model.value)}
+        held = {i for i, *_ in residue.windows(texts, model.value)}
+        held |= {i for i, t in enumerate(texts) if t and i not in held and residue.slot_spans(t)}
         rows, numbers, kinds, keys = [], [], [], []
         for i, t in enumerate(texts):
-            if i in gone or not t or t.isspace() or residue.slot_spans(t):
+            if not t or t.isspace() or i in held and not every:
                 continue
             rows.append(i)
             numbers.append(0)
@@ -262,7 +264,8 @@ def _nodes(docs: DataFrame, doc_id: str, text: str, url: str) -> DataFrame:
                         kinds.append(kind)
                         keys.append(key)
         at = pa.array(rows, type=pa.int64())
-        columns = [batch.column(0).take(at), pa.array(numbers, type=pa.int32()), batch.column(3).take(at), batch.column(4).take(at), pa.array(kinds, type=pa.int32()), pa.array(keys, type=pa.int64())]
+        shown = pa.array([None if i in held else i for i in rows], type=pa.int64())
+        columns = [batch.column(0).take(at), pa.array(numbers, type=pa.int32()), batch.column(3).take(at), batch.column(4).take(shown), pa.array(kinds, type=pa.int32()), pa.array(keys, type=pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=[doc_id, "line_no", "host", "page", "kind", "key"])
 
     page = page_key(F.col(url))
@@ -292,7 +295,8 @@ def tree(nodes: DataFrame) -> DataFrame:
     counts = leaves.groupBy("host", "kind", "key", part.alias("part")).agg(F.count_distinct("page").alias("c")).groupBy("host", "kind", "key").agg(F.sum("c").alias("c"))
     sizes = nodes.where(F.col("line_no") == 0).groupBy("host", part.alias("part")).agg(F.count_distinct("page").alias("m")).groupBy("host").agg(F.sum("m").alias("m"))
     own = counts.where((F.col("kind") == FORM) | (F.col("c") >= LEAST_PAGES)).join(sizes, "host")
-    form = _importance(F.col("c") + PRIOR[0], F.col("m") + PRIOR[1])
+    # a form that only documents with residue show counts as shown by one page
+    form = _importance(F.greatest("c", F.lit(1)) + PRIOR[0], F.greatest("m", F.lit(1)) + PRIOR[1])
     alone = F.when(F.col("host") == NO_HOST, 1.0).otherwise(_importance(F.col("c"), F.col("m")))
     return own.withColumn("importance", F.when(F.col("kind") == FORM, form).otherwise(alone))
 
@@ -303,10 +307,11 @@ def _weak(nodes: DataFrame) -> DataFrame:
     return tree(nodes).where(F.col("importance") <= limit).select("host", "kind", "key")
 
 
-def cut_lines(docs: DataFrame, doc_id: str = "capture_id", text: str = "text", url: str = "url_canonical") -> DataFrame:
+def cut_lines(docs: DataFrame, doc_id: str = "capture_id", text: str = "text", url: str = "url_canonical", every: bool = False) -> DataFrame:
     """(doc_id, line_no, by): every line in a branch of low importance and the kind of node that cut it,
-    ``content``, ``label`` or ``form``, the first of these."""
-    nodes = cut(_nodes(docs, doc_id, text, url))
+    ``content``, ``label`` or ``form``, the first of these. Documents whose text holds
+    residue have lines only with ``every``."""
+    nodes = cut(_nodes(docs, doc_id, text, url, every))
     lines = nodes.where(F.col("kind").isNotNull()).join(_weak(nodes), ["host", "kind", "key"], "left_semi")
     first = lines.groupBy(doc_id, "line_no").agg(F.min("kind").alias("kind"))
     return first.select(doc_id, "line_no", F.element_at(F.array(F.lit("content"), F.lit("label"), F.lit("form")), F.col("kind") + 1).alias("by"))
@@ -329,9 +334,10 @@ def outside_body(docs: DataFrame, doc_id: str = "capture_id", text: str = "text"
 
 
 def main_body(docs: DataFrame, doc_id: str = "capture_id", text: str = "text", url: str = "url_canonical") -> DataFrame:
-    """``docs`` with only the main body in ``text``; lines are joined by line ends, blank lines at
-    either end go. Documents without lines outside the body are unchanged, nulls stay null."""
-    gone = outside_body(docs, doc_id, text, url).groupBy(F.col(doc_id).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    """``docs`` with only the main body in ``text``, also of documents that hold residue, such as an
+    unfilled slot; lines are joined by line ends, blank lines at either end go. Documents without lines
+    outside the body are unchanged, nulls stay null."""
+    gone = cut_lines(docs, doc_id, text, url, every=True).groupBy(F.col(doc_id).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     joined = docs.join(gone, docs[doc_id] == F.col("__id"), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("__gone"), (i + 1).cast("int")))
     body = F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")

@@ -14,6 +14,7 @@ or only cleaned.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -426,36 +427,45 @@ Lo que la oficina aprendió de un año de pruebas
 Чему служба научилась за год испытаний
 """.strip().split("\n")
 
+# Slots by syntax, of any length. Those between marks of a template language may go over line ends; none
+# holds its own opening mark, so a mark that is never closed is read once only.
 _SLOT = regex.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{0,80}%\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|<%.{0,120}?%>|%%\w{2,40}%%|@@\w{2,40}@@|__[A-Z][A-Za-z0-9]*_\w{1,50}__|\[%[^%\n]{0,60}%\]"
-    r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])|\[object Object\]|\bundefined\s+\|\s|\bundefined\s+(?:min|by|of)\b"
-    r"|\[(?:insert|headline|title|subtitle|your|company|customer|client|name|product|date|author|city|quote|image|figure|text|body|lead|photo|caption|add|first|last|placeholder|tbd|todo)\b[^\[\]\n]{0,60}\]"
-    r"|(?<![\w{$#])\{\d\}|(?<!\w)<[A-Z][A-Z_]{2,20}>"
-    r"|\bXX+\s?%|\bTBD\b|\bTK{2,}\b|(?:^|\s)(?:TODO|FIXME):",
+    r"\{\{(?:[^{}]++|\{[^{}]*+\})*+\}\}|\{%(?:[^%{]++|%(?!\})|\{(?!%))*+%\}|[$#]\{(?:[^{}]++|\{[^{}]*+\})*+\}|<%(?:[^<%]++|<(?!%)|%(?!>))*+%>|\[%(?:[^%\[]++|%(?!\])|\[(?!%))*+%\]"
+    r"|%%\w{2,}+%%|@@\w{2,}+@@|__[A-Z][A-Za-z0-9]*+_\w+?__"
+    r"|(?<![\w%])%[A-Z][A-Z_]{2,}+%(?![\w%])|\[object Object\]|\bundefined[^\S\n]+\|[^\S\n]|\bundefined[^\S\n]+(?:min|by|of)\b"
+    r"|\[(?:insert|headline|title|subtitle|your|company|customer|client|name|product|date|author|city|quote|image|figure|text|body|lead|photo|caption|add|first|last|placeholder|tbd|todo)\b[^\[\]\n]*+\]"
+    r"|(?<![\w{$#])\{\d++\}|(?<!\w)<[A-Z][A-Z_]{2,}+>"
+    r"|\bXX+[^\S\n]?%|\bTBD\b|\bTK{2,}\b|(?<!\S)(?:TODO|FIXME):",
     regex.I,
 )
-_CASED = regex.compile(r"^(?:<[a-z_]+>|xx+\s?%|tbd|tk+|\s*(?:todo|fixme):|%[a-z_]+%|__[a-z]\w*__|undefined.*)$")
+_CASED = regex.compile(r"^(?:<[a-z_]+>|xx+\s?%|tbd|tk+|(?:todo|fixme):|%[a-z_]+%|__[a-z]\w*__|undefined.*)$")
 _ERROR_SLOT = regex.compile(r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|#\{[^{}]*\}|\{[A-Za-z_][\w.() ]*\}|<%.*?%>|%[sdr]\b|%[A-Z_]{3,}%|%%\w+%%|@@\w+@@|__[A-Z]+_\w+__|\{\d*\}")
 _QUOTED = regex.compile(r"`[^`\n]*`|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|‘[^’\n]*’")
 _BRAND_TAIL = regex.compile(r"\s+[|–—-]\s+\S+\s*$")
 
 
-def has_slot(text: str) -> bool:
-    """Whether the text holds an unfilled slot that isn't quoted."""
-    first = _SLOT.search(text)
-    if not first:
-        return False
-    quoted = [m.span() for m in _QUOTED.finditer(text)]
-    for m in _SLOT.finditer(text):
+def _slots(text: str, at: int = 0) -> Iterator[tuple[int, int]]:
+    """Start and end of the unfilled slots from ``at`` on that aren't quoted."""
+    quoted: list[tuple[int, int]] | None = None
+    begins: list[int] = []
+    while m := _SLOT.search(text, at):
+        at = m.start() + 1  # what isn't a slot may still hold one
         slot = m.group()
-        if _CASED.match(slot.strip()) and slot.strip() == slot.strip().lower() and not slot.startswith("undefined"):
-            continue
-        if any(a < m.start() and m.end() < b for a, b in quoted):
-            continue
+        if slot == "Todo:" or _CASED.match(slot) and slot == slot.lower() and not slot.startswith("undefined"):
+            continue  # "Todo:" is a word of Spanish
+        if quoted is None:
+            quoted = [q.span() for q in _QUOTED.finditer(text)]
+            begins = [a for a, _ in quoted]
+        if all((k := bisect_left(begins, place)) and place < quoted[k - 1][1] for place in m.span()):
+            continue  # the slot, or each of its marks
         if slot[0] == "[" and "object" not in slot and text[m.end() : m.end() + 1] == "(":
             continue  # a link
-        return True
-    return False
+        yield m.span()
+
+
+def has_slot(text: str) -> bool:
+    """Whether the text holds an unfilled slot that isn't quoted."""
+    return next(_slots(text), None) is not None
 
 
 def _folded(text: str) -> str:
@@ -578,7 +588,17 @@ def windows(texts: list[str | None], ratios: np.ndarray, threshold: float | None
     return [(kept[w][0], int(begin[k] - starts[w]), int(finish[k] - starts[w]), float(mean[k])) for w, k in zip(which, hit) if w >= 0]
 
 
-_MAYBE = ("{", "[", "<%", "%%", "@@", "__", "undefined", "TBD", "XX", "TODO", "FIXME", "TK", "<")
+# Marks without one of which no text has a slot: as they are, in lower case, and a pattern for percents.
+_MAYBE = ("{", "[", "<", "%%", "@@", "__")
+_MAYBE_WORDS = ("undefined", "tbd", "tkk", "todo:", "fixme:")
+_MAYBE_PERCENT = regex.compile(r"%\p{L}|x\s?%", regex.I)
+
+
+def _may_have_slot(text: str) -> bool:
+    if any(m in text for m in _MAYBE) or "%" in text and _MAYBE_PERCENT.search(text):
+        return True
+    low = text.lower()
+    return any(m in low for m in _MAYBE_WORDS)
 
 
 # Titles that stand for an error page by its code alone.
@@ -586,20 +606,17 @@ _CODE_TITLE = regex.compile(r"^\s*(?:error|http|fehler|erreur|ошибка)?\s*:
 
 
 def slot_spans(text: str) -> list[tuple[int, int]]:
-    """Lines of the text that hold an unfilled slot."""
-    if not (any(m in text for m in _MAYBE) or "%" in text and _PERCENT.search(text)) or not _SLOT.search(text):
-        return []
-    spans, at = [], 0
-    for line in text.split("\n"):
-        if has_slot(line):
-            spans.append((at, at + len(line)))
-        at += len(line) + 1
+    """Lines of the text that hold an unfilled slot; one over several lines has a span over all of them."""
+    spans: list[tuple[int, int]] = []
+    if not _may_have_slot(text):
+        return spans
+    for start, end in _slots(text):
+        if not spans or start >= spans[-1][1]:
+            stop = text.find("\n", end)
+            spans.append((text.rfind("\n", 0, start) + 1, stop if stop >= 0 else len(text)))
     return spans
 
 
-_PERCENT = regex.compile(r"%[A-Z]")
-
-
 def title_head(value: str) -> str:
     """The title without a site's name behind a bar or dash."""
     return _BRAND_TAIL.sub("", value)
