@@ -13,7 +13,9 @@ functional dependencies: extraction_method -> source (content and provenance; re
 most frequent source of each method), and a title is as its source writes it (title and provenance).
 Of the tied bundles the admissible combination of the greatest sum of trusts is found by branch and
 bound; vectors compared part by part can be added and bounded like numbers. A bundle that no
-dependency ties to another is its own search, which ends with its most trusted candidate.
+dependency ties to another is its own search, which ends with its most trusted candidate. Where the
+content has to be a page's best capture whatever else the page holds (page_choices), it leads: its trust
+comes first, and a dependency that no capture of the page can meet doesn't bind it.
 
 Of each page, bundle and value of the dependency only the most trusted capture can be in the result, so
 candidates are aggregated to that with map-side combining: a page captured a million times ends as a
@@ -49,10 +51,11 @@ def _paged(captures: DataFrame, *columns: str) -> DataFrame:
     return paged.where(F.col("__page").isNotNull() & ~F.col("__page").isin("", "?"))
 
 
-def best_bundles(records: DataFrame, bundles: list[Bundle], key: str = "__page", record_id: str = "capture_id") -> DataFrame:
-    """(key, n, first, {bundle}_from): of each group of records with one ``key``, how many they are, the
-    least id, and the record each bundle is taken from. Of equal trusts the least id is taken; if no
-    combination of the tied bundles is admissible, each is its most trusted."""
+def best_bundles(records: DataFrame, bundles: list[Bundle], key: str = "__page", record_id: str = "capture_id", least: int = 1, lead: bool = False) -> DataFrame:
+    """(key, n, first, {bundle}_from): of each group of at least ``least`` records with one ``key``, how
+    many they are, the least id, and the record each bundle is taken from. Of equal trusts the least id is
+    taken; if no combination of the tied bundles is admissible, each is its most trusted. With ``lead`` a
+    tie of the first tied bundle that another bundle can't agree with in the whole group doesn't bind."""
     parts = F.array(
         *[
             F.struct(F.lit(i).alias("b"), (F.lit("") if b.tie is None else b.tie).alias("tie"), F.array(*[t.cast("double") for t in b.trust]).alias("trust"))
@@ -65,7 +68,7 @@ def best_bundles(records: DataFrame, bundles: list[Bundle], key: str = "__page",
     tied = [i for i, b in enumerate(bundles) if b.tie is not None]
     free = [F.max(F.when(own(i), F.col("best"))).alias(f"best_{i}") for i, b in enumerate(bundles) if b.tie is None]
     listed = F.collect_list(F.when(F.col("b").isin(tied), F.struct("b", "tie", "best.trust", "best.back"))) if tied else F.lit(None)
-    groups = candidates.groupBy("k").agg(F.sum(F.when(own(0), F.col("n"))).alias("n"), F.min("first").alias("first"), listed.alias("c"), *free)
+    groups = candidates.groupBy("k").agg(F.sum(F.when(own(0), F.col("n"))).alias("n"), F.min("first").alias("first"), listed.alias("c"), *free).where(F.col("n") >= least)
     from_ = [(-F.col(f"best_{i}.back")).alias(f"{b.name}_from") for i, b in enumerate(bundles) if b.tie is None]
     kept = groups.select("k", "n", "first", "c", *from_)
     if not tied:
@@ -74,7 +77,8 @@ def best_bundles(records: DataFrame, bundles: list[Bundle], key: str = "__page",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [branch_and_bound([[(c["tie"], c["trust"], c["back"]) for c in group if c["b"] == i] for i in tied]) for group in batch.column(3).to_pylist()]
+            lists = [[[(c["tie"], c["trust"], c["back"]) for c in group if c["b"] == i] for i in tied] for group in batch.column(3).to_pylist()]
+            found = [branch_and_bound(unbound(x) if lead else x) for x in lists]
             picked = [pa.array([-x[j] for x in found], type=pa.int64()) for j in range(len(tied))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != 3] + picked, names=[n for n in batch.schema.names if n != "c"] + names)
 
@@ -120,15 +124,55 @@ def branch_and_bound(lists: list[list[Candidate]]) -> list[int]:
     return picked
 
 
+def unbound(lists: list[list[Candidate]]) -> list[list[Candidate]]:
+    """``lists`` with '' for each tie of the first list that some other list has no candidate for. If the
+    other lists have the same ties, every candidate of the first then is in an admissible combination."""
+    first, *others = lists
+    known = [{c[0] for c in own} for own in others]
+    return [[(tie if all(tie in k or "" in k for k in known) else "", trust, back) for tie, trust, back in first], *others]
+
+
+def page_choices(captures: DataFrame) -> DataFrame:
+    """(first_capture_id, captures, {bundle}_from) of each page with two or more captures: content,
+    provenance and title by branch and bound under the dependencies of ``choices``, with TESTDATA's order
+    as the trust of the content: the words of its text (a null text has none), then its ts (null is less
+    than any), then the smaller capture_id. These parts come before those of the other bundles, so what
+    provenance and title add decides between combinations with the same content only. Columns for these
+    two that ``captures`` hasn't count as null."""
+    tied = ("source", "extraction_method", "title", "error")
+    captures = captures.withColumns({n: F.lit(None).cast("string") for n in tied if n not in captures.columns})
+    narrow = _paged(captures, *tied, "text", "ts").select(  # no text or title is shuffled
+        "capture_id",
+        "__page",
+        "source",
+        "extraction_method",
+        "ts",
+        count_words(F.col("text")).alias("words"),
+        (_filled("source") + F.when(F.col("error").isNull(), 0.5).otherwise(0.0)).alias("origin"),
+        _filled("title").alias("titled"),
+    )
+    c = _implied(narrow)
+    zero = F.lit(0.0)
+    ts = F.coalesce(F.col("ts"), zero)
+    odd = F.isnan(ts)  # NaN is greater than any number; in the sums it can't stand
+    number = F.when(odd, zero).otherwise(ts)
+    recent = F.greatest(number, zero)
+    whole = F.col("capture_id").cast("bigint")  # in two parts, which doubles hold exactly
+    order = (F.col("words"), F.col("ts").isNotNull(), odd, number, -F.shiftright(whole, 32), -whole.bitwiseAND(F.lit(0xFFFFFFFF)))
+    later = (zero,) * len(order)
+    bundles = [
+        Bundle("content", (*order, zero, zero), F.col("implied")),
+        Bundle("provenance", (*later, F.col("origin"), recent), F.col("source")),
+        Bundle("title", (*later, F.col("titled"), recent), F.col("source")),
+    ]
+    return best_bundles(c, bundles, least=2, lead=True).drop("__page").withColumnsRenamed({"n": "captures", "first": "first_capture_id"})
+
+
 def page_groups(captures: DataFrame) -> DataFrame:
-    """First and best capture of each page with two or more captures: the content bundle alone, trusted
-    by the words of its text (a null text has none), then by its ts (null is less than any), then by the
-    smaller capture_id. Captures whose url_canonical is null or blank belong to no page. Repeated
+    """First and best capture of each page with two or more captures: the one that ``page_choices`` takes
+    the content from. Captures whose url_canonical is null or blank belong to no page. Repeated
     capture_ids count as often as they stand there; an empty table gives no rows."""
-    known = F.col("ts").isNotNull()
-    content = Bundle("best_capture", (count_words(F.col("text")), known.cast("double"), F.coalesce(F.col("ts"), F.lit(0.0))))
-    chosen = best_bundles(_paged(captures, "text", "ts"), [content])
-    return chosen.where(F.col("n") > 1).select(F.col("first").alias("first_capture_id"), F.col("best_capture_from").alias("best_capture_id"))
+    return page_choices(captures).select("first_capture_id", F.col("content_from").alias("best_capture_id"))
 
 
 def _trusts(methods: DataFrame) -> dict[str, float]:
@@ -146,25 +190,34 @@ def _lookup(column: Column, values: dict[str, float]) -> Column:
     return F.coalesce(F.element_at(table, column), F.lit(0.0))
 
 
+def _implied(paged: DataFrame) -> DataFrame:
+    """``paged`` with '' for a null source and, from the dependency extraction_method -> source, the source
+    that its method implies: at most one a method, few methods."""
+    c = paged.withColumn("source", F.coalesce("source", F.lit("")))
+    seen = c.where((F.col("source") != "") & F.col("extraction_method").isNotNull()).groupBy("extraction_method", "source").count()
+    implied = seen.groupBy("extraction_method").agg(F.max(F.struct(F.col("count"), F.col("source"))).getField("source").alias("implied"))
+    return c.join(implied, "extraction_method", "left").withColumn("implied", F.coalesce("implied", F.lit("")))
+
+
+def _filled(*names: str) -> Column:
+    """How many of the columns are neither null nor blank."""
+    return sum([F.when(is_blank(F.col(n)), 0.0).otherwise(1.0) for n in names[1:]], F.when(is_blank(F.col(names[0])), 0.0).otherwise(1.0))
+
+
 def choices(captures: DataFrame, methods: DataFrame) -> DataFrame:
     """(__page, first_capture_id, captures, {bundle}_from) of every page: the captures that its bundles
     are taken from. A bad clock (ts of 0 or less, or none) is the least recent."""
     trust = _lookup(F.col("extraction_method"), _trusts(methods))
-    c = _paged(captures, "url_final", "domain", "source", "extraction_method", "title", "text", "error", "ts").withColumn("source", F.coalesce("source", F.lit("")))
-    # the dependency extraction_method -> source: at most one source a method, few methods
-    seen = c.where((F.col("source") != "") & F.col("extraction_method").isNotNull()).groupBy("extraction_method", "source").count()
-    implied = seen.groupBy("extraction_method").agg(F.max(F.struct(F.col("count"), F.col("source"))).getField("source").alias("implied"))
-    c = c.join(implied, "extraction_method", "left").withColumn("implied", F.coalesce("implied", F.lit("")))
+    c = _implied(_paged(captures, "url_final", "domain", "source", "extraction_method", "title", "text", "error", "ts"))
     recent = F.greatest(F.coalesce(F.col("ts"), F.lit(0.0)), F.lit(0.0))
     words = count_words(F.col("text"))
     zero = F.lit(0.0)
-    filled = lambda *names: sum([F.when(is_blank(F.col(n)), 0.0).otherwise(1.0) for n in names[1:]], F.when(is_blank(F.col(names[0])), 0.0).otherwise(1.0))
     has_text = F.when(words > 0, 1.0).otherwise(0.0)
     bundles = [
         Bundle("content", (has_text, F.when(words > 0, trust).otherwise(zero), words, recent), F.col("implied")),
-        Bundle("provenance", (filled("source") + F.when(F.col("error").isNull(), 0.5).otherwise(0.0), zero, zero, recent), F.col("source")),
-        Bundle("title", (filled("title"), F.when(filled("title") > 0, trust).otherwise(zero), zero, recent), F.col("source")),
-        Bundle("address", (filled("url_final", "domain"), zero, zero, recent)),
+        Bundle("provenance", (_filled("source") + F.when(F.col("error").isNull(), 0.5).otherwise(0.0), zero, zero, recent), F.col("source")),
+        Bundle("title", (_filled("title"), F.when(_filled("title") > 0, trust).otherwise(zero), zero, recent), F.col("source")),
+        Bundle("address", (_filled("url_final", "domain"), zero, zero, recent)),
         Bundle("time", (recent, zero, zero, zero)),
     ]
     return best_bundles(c, bundles).withColumnsRenamed({"n": "captures", "first": "first_capture_id"})
